@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .common import arrow_apply, ref, struct_array
 
 #: Entries of each worker's piece and pair caches; a full cache starts afresh.
-PIECE_CACHE, PAIR_CACHE = 300_000, 500_000
+PIECE_CACHE, PAIR_CACHE = 300_000, 200_000
 _NONE = 1 << 62
 
 
@@ -167,10 +167,18 @@ class TextCodec:
         """Ids as little-endian unsigned 32-bit integers."""
         return b"".join(map(self.packed.__getitem__, self.pieces(text)))
 
+
+
+class Decoder:
+    """The tokens' bytes alone: decoding needs no automaton."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.tokens = {i: token for token, i in ranks.items()}
+
     def decode(self, packed: bytes) -> bytes:
         import numpy as np
 
-        return b"".join(map(self.codec.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+        return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
 @lru_cache(maxsize=2)
@@ -179,6 +187,11 @@ def text_codec(path: str, pattern: str) -> TextCodec:
     return TextCodec(read_ranks(path), pattern)
 
 
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(read_ranks(path))
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """Append ``ids`` (binary: little-endian unsigned 32-bit token ids, the usual layout of token shards) and ``n_tokens``.
 
@@ -197,21 +210,21 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     return arrow_apply(df, [ref(text)], out, process)
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", to: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, path: str, ids: str = "token_ids", to: str = "decoded") -> DataFrame:
     """Append ``to`` (binary), the bytes of the ids that :func:`encode` packed; null ids give none.  Row-local."""
     out = T.StructType([T.StructField(to, T.BinaryType())])
 
     def process(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.StructArray]:
-        codec = text_codec(path, pattern)
+        tokens = decoder(path)
         for (packed,) in batches:
-            yield struct_array([[codec.decode(p.as_py() or b"") for p in packed]], [(to, pa.binary())])
+            yield struct_array([[tokens.decode(p.as_py() or b"") for p in packed]], [(to, pa.binary())])
 
     return arrow_apply(df, [ref(ids)], out, process)
 
 
 def digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of the encoded and decoded texts."""
-    both = decode(encode(df.select("doc_id", "text"), path, pattern), path, pattern)
+    both = decode(encode(df.select("doc_id", "text"), path, pattern), path)
     return both.select(
         "doc_id",
         "n_tokens",

@@ -50,7 +50,7 @@ def encoding():
 
 
 def test_bpe_query(docs, encoding):
-    rows = bpe.digests(docs).collect() if False else bpe.digests(docs, PATH, public_tokenizers.PATTERN).collect()
+    rows = bpe.digests(docs, PATH, public_tokenizers.PATTERN).collect()
     assert len(rows) == docs.count()
     want = {}
     for r in docs.select("doc_id", "text").collect():
@@ -66,7 +66,7 @@ def test_bpe_is_tiktoken(text):
     enc = _encoding()
     packed = codec.encode(text)
     assert packed == b"".join(i.to_bytes(4, "little") for i in enc.encode_ordinary(text))
-    assert codec.decode(packed) == text.encode()
+    assert bpe.decoder(PATH).decode(packed) == text.encode()
 
 
 _made = []
