@@ -8,10 +8,13 @@ that carries the state and adds up log-probabilities.
 
 Smoothing is the Dirichlet prior of MacKay and Peto, by orders:
 
-    P(w | h) = (c(h w) + m P(w | h')) / (c(h) + m)
+    P(w | h) = (c(h w) + m P(w | h')) / (c(h) + m),    m = A c(h)^B
 
-so an n-gram that training lacks has exactly P(w | h') times the failure weight
-m / (c(h) + m), and all probabilities of a state sum to one.
+The prior's weight m grows as the number of different words after a context
+does, by Heaps' law, so a rare context that always goes on alike is trusted
+sooner than a frequent one that goes on anyhow.  An n-gram that training lacks
+has exactly P(w | h') times the failure weight m / (c(h) + m), and all
+probabilities of a state sum to one.
 
 The model grows with the corpus, so no machine holds it.  Documents are dealt
 into blocks; a block asks for the counts of the n-grams in its own text, packed
@@ -24,6 +27,7 @@ can reach.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,8 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import FOLD, id_remainder
 
-#: Words of an n-gram, and the prior's weight in tokens for contexts of one word, two words, ...
-ORDER, PRIOR = 2, (24.0, 6.0, 6.0)
+#: Words of an n-gram, and A and B of the prior's weight.
+ORDER, PRIOR = 2, (5.0, 0.85)
 #: Remainder of crc32(doc_id) mod 5 of the rows that are held out.
 FOLDS, HELD_OUT = 5, 1
 #: Text of a block, and n-grams of a shard: both bound a task's memory.
@@ -84,6 +88,22 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(blob[1:]), f"<u{blob[0]}").astype(np.int64)
 
 
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as the first and the steps to the next, each in as many bytes as the largest step takes."""
+    steps = np.diff(keys)
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
+    return bytes([width]) + keys[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpacked_keys(blob: bytes) -> np.ndarray:
+    if len(blob) == 1:
+        return np.zeros(0, np.uint64)
+    width = blob[0]
+    steps = np.zeros(((len(blob) - 9) // width, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, width)
+    return np.cumsum(np.concatenate([np.frombuffer(blob[1:9], np.uint64), steps.view(np.uint64).reshape(-1)]), dtype=np.uint64)
+
+
 def _shard_bounds(keys: np.ndarray, shards: int) -> np.ndarray:
     """Where each shard's sorted keys begin and end: shards are ranges of the key space."""
     edges = [(k << 64) // shards for k in range(1, shards)]
@@ -96,29 +116,39 @@ def _begin_contexts(order: int) -> list[np.ndarray]:
 
 
 class BlockGrams:
-    """A block's sorted distinct n-grams, and each document's places in them."""
+    """A block's sorted distinct n-grams, and each token's places in them, one for each order."""
 
     def __init__(self, texts: list[str | None], order: int):
         self.order = order
-        self.tokens = [token_keys(t) for t in texts]
-        self.sizes = np.fromiter(map(len, self.tokens), np.int64, len(self.tokens))
-        flat = [[] for _ in range(order)]
-        for t in self.tokens:
+        tokens = [token_keys(t) for t in texts]
+        self.sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        n = int(self.sizes.sum())
+        self.marks = [np.array([BEGIN], np.uint64), *_begin_contexts(order)]
+        # All orders' n-grams side by side, then the begin marks: one sort gives the keys and everyone's place.
+        flat = np.empty(order * n + len(self.marks), np.uint64)
+        at = 0
+        for t in tokens:
             for k, g in enumerate(gram_keys(t, order)):
-                flat[k].append(g)
-        self.grams = [np.concatenate(f) if f else np.zeros(0, np.uint64) for f in flat]
-        marks = [np.array([BEGIN], np.uint64), *_begin_contexts(order)]
-        every = np.sort(np.concatenate([*self.grams, *marks]))
-        self.keys = every[np.concatenate(([True], every[1:] != every[:-1]))] if len(every) else every
+                flat[k * n + at : k * n + at + len(g)] = g
+            at += len(t)
+        flat[order * n :] = np.concatenate(self.marks)
+        by = np.argsort(flat)
+        flat = flat[by]
+        new = np.ones(len(flat), bool)
+        new[1:] = flat[1:] != flat[:-1]
+        self.keys = flat[new]
+        place = np.empty(len(flat), np.int64)
+        place[by] = np.cumsum(new) - 1
+        self.grams = [place[k * n : (k + 1) * n] for k in range(order)]
+        self.mark_places = place[order * n :]
 
     def counted(self, trained: np.ndarray) -> np.ndarray:
         """Counts of the keys in the documents of ``trained``; a begin mark counts once for each document as a context."""
         out = np.zeros(len(self.keys), np.int64)
         use = np.repeat(trained, self.sizes)
         for g in self.grams:
-            out += np.bincount(np.searchsorted(self.keys, g[use]), minlength=len(self.keys))
-        for mark in [np.array([BEGIN], np.uint64), *_begin_contexts(self.order)]:
-            out[np.searchsorted(self.keys, mark)] += int(trained.sum())
+            out += np.bincount(g[use], minlength=len(self.keys))
+        out[self.mark_places] += int(trained.sum())
         return out
 
 
@@ -131,7 +161,7 @@ def _requests(pdf: pd.DataFrame, order: int, shards: int) -> pd.DataFrame:
         {
             "block": np.full(shards, pdf["block"].iloc[0], np.int64),
             "shard": np.arange(shards, dtype=np.int64),
-            "keys": [block.keys[a:b].tobytes() for a, b in zip(at, at[1:])],
+            "keys": [_packed_keys(block.keys[a:b]) for a, b in zip(at, at[1:])],
             "counts": [_packed(counts[a:b]) for a, b in zip(at, at[1:])],
         }
     )
@@ -139,7 +169,7 @@ def _requests(pdf: pd.DataFrame, order: int, shards: int) -> pd.DataFrame:
 
 def _answers(pdf: pd.DataFrame) -> pd.DataFrame:
     """A shard's answers: the corpus's counts of each block's keys, in the block's order."""
-    keys = [np.frombuffer(k, np.uint64) for k in pdf["keys"]]
+    keys = [_unpacked_keys(k) for k in pdf["keys"]]
     every = np.concatenate(keys)
     order = np.argsort(every, kind="stable")
     counts = np.concatenate([_unpacked(c) for c in pdf["counts"]])[order]
@@ -160,18 +190,17 @@ class Automaton:
     of the n-gram of k + 1 words that ends at the token, and of its context.
     """
 
-    def __init__(self, block: BlockGrams, totals: np.ndarray, train_tokens: int, train_types: int, prior: tuple[float, ...]):
+    def __init__(self, block: BlockGrams, totals: np.ndarray, train_tokens: int, train_types: int, prior: tuple[float, float]):
         self.prior, self.mass = prior, train_tokens + 0.5 * (train_types + 1)
-        at = [np.searchsorted(block.keys, g) for g in block.grams]
-        self.counts = [totals[a] for a in at]
-        marks = [totals[np.searchsorted(block.keys, m)][0] for m in [np.array([BEGIN], np.uint64), *_begin_contexts(block.order)]]
+        self.counts = [totals[g] for g in block.grams]
+        marks = totals[block.mark_places]
         starts = np.cumsum(block.sizes) - block.sizes
         self.contexts = [None]
         for k in range(1, block.order):
             # The context of k words before a token is the n-gram of k words that ends at the token before it.
             context = np.empty_like(self.counts[k - 1])
             context[1:] = self.counts[k - 1][:-1]
-            context[starts] = marks[k - 1] if k <= len(marks) else 0
+            context[starts] = marks[k - 1]
             self.contexts.append(context)
 
     def traverse(self) -> tuple[np.ndarray, np.ndarray]:
@@ -183,14 +212,15 @@ class Automaton:
         base = (self.counts[0] + 0.5) / self.mass
         p = base
         for k in range(1, len(self.counts)):
-            m = self.prior[k - 1]
-            fail = m / (self.contexts[k] + m)
-            arc = self.counts[k] / (self.contexts[k] + m) + fail * p
+            c = self.contexts[k]
+            m = self.prior[0] * np.maximum(c, 1.0) ** self.prior[1]
+            fail = m / (c + m)
+            arc = self.counts[k] / (c + m) + fail * p
             p = np.where(self.counts[k] > 0, arc, fail * p)
         return np.log10(base), np.log10(p)
 
 
-def _scores(docs: pd.DataFrame, answers: pd.DataFrame, order: int, prior: tuple[float, ...], train_tokens: int, train_types: int) -> pd.DataFrame:
+def _scores(docs: pd.DataFrame, answers: pd.DataFrame, order: int, prior: tuple[float, float], train_tokens: int, train_types: int) -> pd.DataFrame:
     """A block's texts through its part of the automaton."""
     block = BlockGrams(list(docs["text"]), order)
     totals = np.concatenate([_unpacked(t) for t in answers.sort_values("shard")["totals"]])
@@ -234,13 +264,13 @@ def _answered(dealt: DataFrame, order: int, shards: int) -> DataFrame:
 
 def _shard_facts(pdf: pd.DataFrame) -> pd.DataFrame:
     """Tokens and distinct words of a shard of the words."""
-    keys = np.concatenate([np.frombuffer(k, np.uint64) for k in pdf["keys"]])
+    keys = np.concatenate([_unpacked_keys(k) for k in pdf["keys"]])
     counts = np.concatenate([_unpacked(c) for c in pdf["counts"]])
     real = (counts > 0) & (keys != BEGIN)
     return pd.DataFrame({"tokens": [int(counts[real].sum())], "types": [len(np.unique(keys[real]))]})
 
 
-def score_documents(df: DataFrame, order: int = ORDER, prior: tuple[float, ...] = PRIOR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_documents(df: DataFrame, order: int = ORDER, prior: tuple[float, float] = PRIOR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     The model learns from all rows outside the held-out fold.  Null and empty
@@ -253,7 +283,15 @@ def score_documents(df: DataFrame, order: int = ORDER, prior: tuple[float, ...]
     # A token is six bytes or so, and each order adds at most one n-gram for it.
     shards = max(1, -(-size * order // (6 * SHARD_GRAMS)))
     dealt = _dealt(df, blocks)
-    facts = _asked(dealt, 1, shards).groupBy("shard").applyInPandas(_shard_facts, "tokens long, types long").agg(F.sum("tokens"), F.sum("types")).first()
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield _requests(pdf, 1, shards)
+
+    # Tokens and types of the training rows: from the scan, for these need no blocks.
+    counted = dealt.where("NOT held_out").mapInPandas(words, "block long, shard long, keys binary, counts binary")
+    facts = counted.groupBy("shard").applyInPandas(_shard_facts, "tokens long, types long").agg(F.sum("tokens"), F.sum("types")).first()
     tokens, types = facts[0] or 0, facts[1] or 0
     answers = _answered(dealt, order, shards)
 

@@ -51,7 +51,8 @@ def brute_lm(docs, order, prior):
         q = (count[seq[p]] + 0.5) / (n + 0.5 * (v + 1))
         for k in range(1, order):
             h = tuple(seq[p - k : p])
-            q = (grams[h + (seq[p],)] + prior[k - 1] * q) / (contexts[h] + prior[k - 1])
+            m = prior[0] * max(contexts[h], 1) ** prior[1]
+            q = (grams[h + (seq[p],)] + m * q) / (contexts[h] + m)
         return q
 
     for i, t in docs:
