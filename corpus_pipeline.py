@@ -40,7 +40,7 @@ def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Appends token_ids (little-endian unsigned 32-bit), n_tokens, and round_trip: whether the ids decode to the text."""
-    both = bpe.decode(bpe.encode(docs, BPE_PATH, BPE_PATTERN), BPE_PATH)
+    both = bpe.encode(docs, BPE_PATH, BPE_PATTERN, decoded="decoded")
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return both.withColumn("round_trip", same).drop("decoded")
 

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .common import arrow_apply, ref, struct_array
 
 #: Entries of each worker's piece and pair caches; a full cache starts afresh.
-PIECE_CACHE, PAIR_CACHE = 300_000, 200_000
+PIECE_CACHE, PAIR_CACHE = 300_000, 400_000
 _NONE = 1 << 62
 
 
@@ -192,22 +192,26 @@ def decoder(path: str) -> Decoder:
     return Decoder(read_ranks(path))
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str | None = None) -> DataFrame:
     """Append ``ids`` (binary: little-endian unsigned 32-bit token ids, the usual layout of token shards) and ``n_tokens``.
 
+    ``decoded`` names a further column for the bytes that the ids decode to: a
+    round trip in the same process, which :func:`decode` after this would double.
     ``path`` is the vocabulary file on every machine, as installed.  Null and
     empty texts give no tokens.  Row-local: no shuffle, repeated rows each give
     their result; memory is bounded by a batch and the caches.
     """
-    out = T.StructType([T.StructField(ids, T.BinaryType()), T.StructField("n_tokens", T.LongType())])
+    fields = [(ids, pa.binary()), ("n_tokens", pa.int64())] + ([(decoded, pa.binary())] if decoded else [])
+    kinds = [T.BinaryType(), T.LongType(), T.BinaryType()]
 
     def process(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.StructArray]:
-        codec = text_codec(path, pattern)
+        codec, back = text_codec(path, pattern), decoder(path).decode if decoded else None
         for (texts,) in batches:
             packed = [codec.encode(t.as_py() or "") for t in texts]
-            yield struct_array([packed, [len(p) >> 2 for p in packed]], [(ids, pa.binary()), ("n_tokens", pa.int64())])
+            columns = [packed, [len(p) >> 2 for p in packed]] + ([[back(p) for p in packed]] if decoded else [])
+            yield struct_array(columns, fields)
 
-    return arrow_apply(df, [ref(text)], out, process)
+    return arrow_apply(df, [ref(text)], T.StructType([T.StructField(n, k) for (n, _), k in zip(fields, kinds)]), process)
 
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids", to: str = "decoded") -> DataFrame:
@@ -224,7 +228,7 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", to: str = "decoded"
 
 def digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of the encoded and decoded texts."""
-    both = decode(encode(df.select("doc_id", "text"), path, pattern), path)
+    both = encode(df.select("doc_id", "text"), path, pattern, decoded="decoded")
     return both.select(
         "doc_id",
         "n_tokens",

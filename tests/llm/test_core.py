@@ -56,6 +56,8 @@ def test_bpe_query(docs, encoding):
     for r in docs.select("doc_id", "text").collect():
         ids = encoding.encode_ordinary(r.text or "")
         want[r.doc_id] = (len(ids), hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest())
+    apart = bpe.decode(bpe.encode(docs, PATH, public_tokenizers.PATTERN), PATH)
+    assert all(bytes(r.decoded) == (r.text or "").encode() for r in apart.collect())
     assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows} == want
 
 
