@@ -57,6 +57,18 @@ def ref(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+#: Bytes of a batch that are worked on at once: a worker holds results of so much input, not of a whole batch.
+SLICE_BYTES = 4 << 20
+
+
+def slices(columns: tuple[pa.Array, ...]) -> Iterator[tuple[pa.Array, ...]]:
+    """A batch in parts of about SLICE_BYTES, without copies; an empty batch as it is."""
+    rows, size = len(columns[0]), sum(c.nbytes for c in columns)
+    step = max(1, rows if size <= SLICE_BYTES else rows * SLICE_BYTES // size)
+    for at in range(0, max(rows, 1), step):
+        yield tuple(c.slice(at, step) for c in columns)
+
+
 def arrow_apply(
     df: DataFrame,
     inputs: list[Column],
@@ -74,13 +86,13 @@ def arrow_apply(
     if len(inputs) == 1:
 
         def one(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            yield from process((x,) for x in it)
+            yield from process(part for x in it for part in slices((x,)))
 
         udf = arrow_udf(one, schema)
     else:
 
         def many(it: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-            yield from process(it)
+            yield from process(part for x in it for part in slices(x))
 
         udf = arrow_udf(many, schema)
     names = [f.name for f in schema.fields]
