@@ -77,7 +77,8 @@ class BytePairCodec:
             self.shorter[i] = self.ids[token[:n]] if n else None
         # The two tokens whose merge made each token; a token that no merge makes stands for itself.
         self.halves: dict[int, tuple[int, int]] = {}
-        self.compatible = _Memo(self._compatible, PAIR_CACHE)
+        # Pairs are kept as one number: left << 32 | right.
+        self.compatible = _Memo(lambda pair: self._compatible((pair >> 32, pair & 0xFFFFFFFF)), PAIR_CACHE)
         self.whole_only: set[int] = set()
         for i in sorted(text):
             self.halves[i] = self._split(i)
@@ -134,7 +135,7 @@ class BytePairCodec:
             last = out[-1] if out else None
             while token is not None:
                 end = at + length[token]
-                if open_at[end] and token not in self.whole_only and (last is None or compatible[last, token]):
+                if open_at[end] and token not in self.whole_only and (last is None or compatible[last << 32 | token]):
                     break
                 token = shorter[token]
             if token is None:

@@ -103,15 +103,21 @@ _FIELDS = [(c, pa.int64()) for c in BASE] + [(c, pa.float64()) for c in FEATURES
 _SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in BASE] + [T.StructField(c, T.DoubleType()) for c in FEATURES])
 
 
-def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """Append BASE (long) and FEATURES (double).  Null and empty texts have zeros."""
+def with_statistics(df: DataFrame, text: str = "text", forest: IsolationForest | None = None) -> DataFrame:
+    """Append BASE (long) and FEATURES (double), with ``forest`` also anomaly (double).  Null and empty texts have zeros."""
+    fields, schema = _FIELDS, _SCHEMA
+    if forest is not None:
+        fields, schema = [*_FIELDS, ("anomaly", pa.float64())], T.StructType([*_SCHEMA.fields, T.StructField("anomaly", T.DoubleType())])
+    sent = df.sparkSession.sparkContext.broadcast(forest)
 
     def process(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.StructArray]:
         for (texts,) in batches:
-            rows = [statistics(t.as_py() or "") for t in texts]
-            yield struct_array([list(c) for c in zip(*rows)] or [[]] * len(_FIELDS), _FIELDS)
+            columns = [list(c) for c in zip(*(statistics(t.as_py() or "") for t in texts))] or [[]] * len(_FIELDS)
+            if sent.value is not None:
+                columns.append(sent.value.score(np.column_stack(columns[len(BASE) :]).astype(float)))
+            yield struct_array(columns, fields)
 
-    return arrow_apply(df, [ref(text)], _SCHEMA, process)
+    return arrow_apply(df, [ref(text)], schema, process)
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -242,9 +248,9 @@ class QualityRules:
     threshold: float
 
     def verdict(self, stats: DataFrame) -> DataFrame:
-        """Append anomaly, base_failed and kept to a table of statistics."""
+        """Append base_failed and kept to a table of statistics and anomaly."""
         failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
-        return with_anomaly(stats, self.forest).withColumns({"base_failed": failed, "kept": ~failed & (F.col("anomaly") < self.threshold)})
+        return stats.withColumns({"base_failed": failed, "kept": ~failed & (F.col("anomaly") < self.threshold)})
 
 
 def fit(stats: DataFrame, labels: DataFrame) -> QualityRules:
@@ -260,7 +266,8 @@ def judge(df: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     that repeat come back as often.
     """
     stats = checkpoint(with_statistics(df.select("doc_id", ref(text).alias("text")), "text").drop("text"))
-    return fit(stats, labels).verdict(stats)
+    rules = fit(stats, labels)
+    return rules.verdict(with_anomaly(stats, rules.forest))
 
 
 def keep_good(df: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
@@ -268,7 +275,7 @@ def keep_good(df: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame
     stats = checkpoint(with_statistics(df.select("doc_id", ref(text).alias("text")), "text").drop("text"))
     rules = fit(stats, labels)
     plain = df.select(*[ref(c).alias(f"__el_{i}") for i, c in enumerate(df.columns)], ref(text).alias("__el_text"))
-    judged = rules.verdict(with_statistics(plain, "__el_text")).where("kept")
+    judged = rules.verdict(with_statistics(plain, "__el_text", rules.forest)).where("kept")
     return judged.select(*[F.col(f"__el_{i}").alias(c) for i, c in enumerate(df.columns)])
 
 
