@@ -119,7 +119,7 @@ def test_backup(spark, table, tmp_path):
     assert backup.verify_backup(spark, at).isEmpty()
     assert backup.restore(spark, at, to).first().ok and seqs(spark, to) == list(range(1, 41))
     log(spark, [(99, "t", {})]).write.mode("append").parquet(f"{at}/data")
-    assert [r.problem for r in backup.verify_backup(spark, at).collect()] == ["new"]
+    assert {r.problem for r in backup.verify_backup(spark, at).collect()} == {"new"}
     with pytest.raises(ValueError):
         backup.restore(spark, at, to)
 
