@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_apply, id_remainder, ref, struct_array
+from .common import arrow_apply, draw, id_remainder, ref, struct_array
 
 #: The fit's documented bounds: labelled documents, and lines of one of them, drawn evenly over the whole text.
 FIT_ROWS, FIT_LINES = 6000, 200
@@ -236,14 +236,13 @@ def fit(df: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_lines: i
     Features are taken by the executors; the driver gets at most ``fit_lines``
     lines of each.  A doc_id labelled twice has its larger label.
     """
-    drawn = (
+    known = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
         .where(id_remainder(F.col("doc_id"), FOLDS) != HELD_OUT)
         .groupBy("doc_id")
         .agg(F.max("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(fit_rows)
     )
+    drawn = draw(known, fit_rows)
     schema = T.StructType([T.StructField("x", T.BinaryType()), T.StructField("w", T.BinaryType())])
 
     def process(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.StructArray]:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, arrow_apply, checkpoint, ref, struct_array
+from .common import SPACES, arrow_apply, checkpoint, draw, ref, struct_array
 
 #: The fit's documented bounds: good labelled documents that the forest is grown from, trees, and documents of a tree.
 FIT_ROWS, TREES, TREE_ROWS = 8192, 100, 512
@@ -204,14 +204,8 @@ def with_anomaly(stats: DataFrame, forest: IsolationForest) -> DataFrame:
 def fit_forest(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> IsolationForest:
     """From at most ``fit_rows`` labelled good documents that pass the base rule, drawn by the hash of their id."""
     good = labels.where("quality = 1").select("doc_id").distinct()
-    drawn = (
-        stats.where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
-        .join(good, "doc_id", "left_semi")
-        .orderBy(F.xxhash64("doc_id"), *FEATURES)
-        .limit(fit_rows)
-        .select(*FEATURES)
-        .collect()
-    )
+    passed = stats.where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).join(good, "doc_id", "left_semi")
+    drawn = draw(passed, fit_rows, *FEATURES).select(*FEATURES).collect()
     return IsolationForest.fit(np.array([list(r) for r in drawn], float).reshape(-1, len(FEATURES)))
 
 

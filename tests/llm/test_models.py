@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from eventlake.llm import backoff_lm, chat_format, quality_crf, quality_rules, secrets, toxicity
 
@@ -343,3 +344,12 @@ def test_linking_matches_brute_force():
         parts, others, scope = spans(rng.randint(0, 6)), spans(rng.randint(0, 6)), rng.randint(0, 60)
         want = {(a, b) for a, b in parts if any((x, y) != (a, b) and x <= b + scope and y >= a - scope for x, y in others)}
         assert secrets._near(parts, others, scope) == want
+
+
+def test_draw_is_bounded_and_the_same_every_time(spark):
+    from eventlake.llm.common import draw
+
+    df = spark.range(5000).select(F.col("id").alias("doc_id"))
+    want = sorted(r.doc_id for r in df.orderBy(F.xxhash64("doc_id")).limit(100).collect())
+    assert sorted(r.doc_id for r in draw(df, 100).collect()) == want == sorted(r.doc_id for r in draw(df.repartition(7), 100).collect())
+    assert draw(df, 4000).count() == 4000 and draw(df.limit(3), 10).count() == 3
