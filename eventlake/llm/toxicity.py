@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FOLD, arrow_apply, id_remainder, ref, struct_array, text_bytes
+from .common import FOLD, arrow_apply, checkpoint, draw, id_remainder, ref, struct_array, text_bytes
 
 #: Characters of a subsequence are three; it spans SPAN at most, each character of the span decays it by DECAY.
 SPAN, DECAY = 8, 0.8
@@ -277,16 +277,16 @@ def fit(df: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> ToxicityM
     A doc_id labelled twice is toxic if any label says so.  Without both labels
     the score is the share of toxic ones.
     """
-    drawn = (
+    known = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
         .where(id_remainder(F.col("doc_id"), FOLDS) != HELD_OUT)
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(fit_rows)
     )
+    drawn = draw(known, fit_rows)
     # fit_rows bounds this side: two numbers a row.
-    sample = df.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    # The sample is stored, for each round reads it, and the whole table is read once.
+    sample = checkpoint(df.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"))
     landmarks = choose_landmarks(sample)
     model = ToxicityModel(landmarks, None)
     kernel = SubsequenceKernel(landmarks)
