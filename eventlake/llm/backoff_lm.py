@@ -18,7 +18,7 @@ probabilities of a state sum to one.
 
 The model grows with the corpus, so no machine holds it.  Documents are dealt
 into blocks; a block asks for the counts of the n-grams in its own text, packed
-by shard of the n-gram space; a shard adds up what all blocks counted and
+by shard of the n-gram space, those shards only that it has n-grams of; a shard adds up what all blocks counted and
 answers each block.  A frequent n-gram is asked for once by a block, so no key
 is hot.  What comes back is the part of the automaton that the block's texts
 can reach.
@@ -157,12 +157,15 @@ def _requests(pdf: pd.DataFrame, order: int, shards: int) -> pd.DataFrame:
     block = BlockGrams(list(pdf["text"]), order)
     counts = block.counted(~pdf["held_out"].to_numpy(bool))
     at = _shard_bounds(block.keys, shards)
+    # Shards that the block has nothing for are not asked: blocks times shards would grow with the square of the corpus.
+    asked = np.flatnonzero(np.diff(at))
+    parts = [slice(at[k], at[k + 1]) for k in asked]
     return pd.DataFrame(
         {
-            "block": np.full(shards, pdf["block"].iloc[0], np.int64),
-            "shard": np.arange(shards, dtype=np.int64),
-            "keys": [_packed_keys(block.keys[a:b]) for a, b in zip(at, at[1:])],
-            "counts": [_packed(counts[a:b]) for a, b in zip(at, at[1:])],
+            "block": np.full(len(asked), pdf["block"].iloc[0], np.int64),
+            "shard": asked,
+            "keys": [_packed_keys(block.keys[p]) for p in parts],
+            "counts": [_packed(counts[p]) for p in parts],
         }
     )
 

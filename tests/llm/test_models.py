@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,20 @@ def test_language_model(spark, order, block_bytes):
     assert backoff_lm.digests(df.limit(0)).count() == 0
 
 
+def test_language_model_asks_few_of_many_shards(spark, monkeypatch):
+    """With far more shards than a block has n-grams, a block's requests stay fewer than its n-grams, and scores the same."""
+    docs = [(i, f"w{i} the cat w{i * 7 % 5} ran") for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = sorted(map(tuple, backoff_lm.score_documents(df, block_bytes=100).collect()))
+    monkeypatch.setattr(backoff_lm, "SHARD_GRAMS", 1)
+    got = sorted(map(tuple, backoff_lm.score_documents(df, block_bytes=100).collect()))
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert [g[6] for g in got] == pytest.approx([w[6] for w in want])
+    pdf = pd.DataFrame({"block": [3], "text": ["a b c"], "held_out": [False]})
+    asked = backoff_lm._requests(pdf, 2, 10_000)
+    assert len(asked) <= 10 and asked["keys"].map(lambda k: len(backoff_lm._unpacked_keys(k))).min() > 0
+
+
 def test_language_model_without_training_rows(spark):
     held = next(i for i in range(100) if crc(i, 5) == 1)
     row = backoff_lm.digests(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
