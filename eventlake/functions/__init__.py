@@ -1,6 +1,7 @@
 """Column functions: ids, numbers, checksums, names, encryption."""
 
-from .checksum import blake3_keyed_available, crc32c, crc32c_of, sha256_chain
+from .hashes import blake3, blake3_chain, blake3_of
+from .checksum import crc32c, crc32c_of, sha256_chain
 from .crypto import decrypt_with_ring, derive_key, encrypt, xor_mask
 from .ids import encode_gid, gid_local, gid_shard, shard_bits, u64
 from .names import (
@@ -13,7 +14,9 @@ from .names import (
 )
 
 __all__ = [
-    "blake3_keyed_available",
+    "blake3",
+    "blake3_chain",
+    "blake3_of",
     "crc32c",
     "crc32c_of",
     "decrypt_with_ring",

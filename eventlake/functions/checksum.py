@@ -53,10 +53,3 @@ def crc32c(value: Column) -> Column:
 def sha256_chain(previous: Column, content: Column) -> Column:
     """The next link of a hash chain: SHA-256 of the link before and the content."""
     return F.unhex(F.sha2(F.concat(previous, F.coalesce(content, F.lit(b""))), 256))
-
-
-def blake3_keyed_available() -> bool:
-    """Whether the optional blake3 module is there; SHA-256 chains need nothing."""
-    import importlib.util
-
-    return importlib.util.find_spec("blake3") is not None

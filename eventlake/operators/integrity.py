@@ -8,10 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashes import blake3_chain, blake3_of
 from ..functions.checksum import sha256_chain
 from ..schema import STREAM
 
-#: The link before a chain's first record.
+#: The link before a chain's first record; the key itself in a keyed chain.
 GENESIS = bytes(32)
 
 
@@ -41,46 +42,62 @@ def verify_chain(records: DataFrame, by: list[str] | None = None, from_seq: int
     ).select(*by, (F.col("n_wrong") == 0).alias("ok"), "verified_from", "verified_to", "error_at_seq", "n_records")
 
 
-def verify_hashes(records: DataFrame, by: list[str] | None = None, order: str = "gid") -> DataFrame:
+def verify_hashes(records: DataFrame, by: list[str] | None = None, order: str = "gid", key: bytes | None = None) -> DataFrame:
     """Records with ``linked``: whether hash_n is the link of the hash before and the content.
 
-    Each link needs only the stored one before it, so chains are checked in parallel.
+    Links are SHA-256, with a ``key`` of 32 bytes keyed BLAKE3.  Each link needs
+    only the stored one before it, so chains are checked in parallel.
     """
     by = by or ["shard_id"]
-    before = F.lag("hash_n", 1).over(Window.partitionBy(*by).orderBy(order))
-    return records.withColumn("linked", F.coalesce(F.col("hash_n") == sha256_chain(F.coalesce(before, F.lit(GENESIS)), F.col("content")), F.lit(False)))
+    before = F.coalesce(F.lag("hash_n", 1).over(Window.partitionBy(*by).orderBy(order)), F.lit(key or GENESIS))
+    before_each = records.withColumn("__before", before)
+    link = blake3_chain(F.col("__before"), F.col("content"), key) if key else sha256_chain(F.col("__before"), F.col("content"))
+    return before_each.withColumn("linked", F.coalesce(F.col("hash_n") == link, F.lit(False))).drop("__before")
 
 
-def broken_links(records: DataFrame, by: list[str] | None = None, order: str = "gid") -> DataFrame:
+def broken_links(records: DataFrame, by: list[str] | None = None, order: str = "gid", key: bytes | None = None) -> DataFrame:
     """For each chain: ok, first_broken (null where all hold) and n_records."""
     by = by or ["shard_id"]
-    checked = verify_hashes(records, by, order)
+    checked = verify_hashes(records, by, order, key)
     bad = F.when(~F.col("linked"), F.col(order))
     return checked.groupBy(*by).agg((F.count(bad) == 0).alias("ok"), F.min(bad).alias("first_broken"), F.count(F.lit(1)).alias("n_records"))
 
 
-def build_hashes(records: DataFrame, by: list[str] | None = None, order: str = "gid") -> DataFrame:
-    """Records with hash_n, each chain's links one after the other.
+def build_hashes(records: DataFrame, by: list[str] | None = None, order: str = "gid", key: bytes | None = None) -> DataFrame:
+    """Records with hash_n, each chain's links one after the other: SHA-256, with a ``key`` of 32 bytes keyed BLAKE3.
 
     A link depends on the one before, so a chain is one sequential pass; it
-    streams through in batches and holds one link, however long it is.
+    streams through in batches and holds one link, however long it is.  Chains
+    that share a batch take their steps side by side.
     """
     import hashlib
 
     by = by or ["shard_id"]
-    width = len(by)
     schema = records.drop("hash_n").withColumn("hash_n", F.lit(b"")).schema
 
+    def hashes(inputs: list[bytes]) -> list[bytes]:
+        return blake3_of(inputs, key) if key else [hashlib.sha256(x).digest() for x in inputs]
+
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chain, last = None, GENESIS
+        chain, last = None, b""
         for pdf in batches:
-            out = []
-            for key, content in zip(zip(*(pdf[c] for c in by)), pdf["content"]):
-                if key != chain:
-                    chain, last = key, GENESIS
-                last = hashlib.sha256(last + bytes(content or b"")).digest()
-                out.append(last)
+            if not len(pdf):
+                continue
+            names = list(zip(*(pdf[c] for c in by)))
+            content = [bytes(c or b"") for c in pdf["content"]]
+            starts = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]]
+            ends = [*starts[1:], len(names)]
+            before = {a: key or GENESIS for a in starts}
+            if names[0] == chain:
+                before[0] = last
+            out: list[bytes] = [b""] * len(names)
+            on = list(zip(starts, ends))
+            while on:
+                for (i, _), h in zip(on, hashes([before[i] + content[i] for i, _ in on])):
+                    out[i] = h
+                on = [(i + 1, end) for i, end in on if i + 1 < end]
+                before = {i: out[i - 1] for i, _ in on}
+            chain, last = names[-1], out[-1]
             yield pdf.assign(hash_n=out)
 
-    assert width
     return records.drop("hash_n").repartition(*by).sortWithinPartitions(*by, order).mapInPandas(links, schema)

@@ -489,6 +489,18 @@ def hash_chain_tamper(spark, sf_dir):
     return integrity.broken_links(changed, ["stream"], "seq")
 
 
+#: The key of the keyed chain's queries: bytes 0 to 31.
+_CHAIN_KEY = bytes(range(32))
+
+
+@query("select 'conv-' || conv_id::varchar as stream, count(*) filter (bad) = 0 as ok, min(turn + 1) filter (bad) as first_broken, count(*) as n_records from (select *, conv_id % 10 = 3 and turn = 1 as bad from conversations) group by conv_id")
+def keyed_hash_chain_tamper(spark, sf_dir):
+    built = integrity.build_hashes(_conversations(spark, sf_dir), ["stream"], "seq", _CHAIN_KEY)
+    bad = ((F.col("stream_id") - 1) % 10 == 3) & (F.col("seq") == 2)
+    changed = built.withColumn("content", F.when(bad, F.concat("content", F.lit(b"x"))).otherwise(F.col("content")))
+    return integrity.broken_links(changed, ["stream"], "seq", _CHAIN_KEY)
+
+
 # --- consumers
 
 

@@ -1,12 +1,14 @@
-"""Native segment files, read in parallel: one task for each file.
+"""Native segment files, read in parallel: one task for each file, then one for each frame.
 
 A file is a header of 128 bytes and records, each (little-endian)
 
     length u32 | sequence u64 | timestamp_ns u64 | content length u32 | content | hash 32 bytes | CRC-32C u32
 
-where length counts all of it and the checksum covers all before itself.  A
-record that is cut off or fails its checksum ends up in ``corrupt`` with what
-could be read.  Compressed and encrypted segments are not read.
+where length counts all of it and the checksum covers all before itself.  In
+compressed or encrypted files, records are in frames (stored length u32, raw
+length u32, payload): zstd, then AES-GCM with the nonce of 12 bytes in front.
+What is cut off, fails its checksum or opens with no key ends up in ``corrupt``
+with what could be read.
 """
 
 from __future__ import annotations
@@ -16,17 +18,21 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.checksum import crc32c_of
+from ..functions.crypto import decrypt_with_ring
 
 # The file format's numbers.
 MAGIC, VERSION, HEADER_BYTES, HASH_BYTES = 0x4C474442, 1, 128, 32
 _HEADER = struct.Struct("<IHBB32sQIIQQI32sB16s3s")
 _FIXED = struct.Struct("<IQQI")
+_FRAME = struct.Struct("<II")
 FLAG_COMPRESSED, FLAG_ENCRYPTED = 0x04, 0x08
 _OVERHEAD = _FIXED.size + HASH_BYTES + 4
 
 SCHEMA = "path string, segment_id long, partition_id long, sequence long, timestamp_ns long, content binary, hash_n binary, corrupt string"
+_FRAMES = "path string, segment_id long, partition_id long, flags long, frame long, payload binary, raw_size long, corrupt string"
 
 
 def pack_header(base_sequence: int, segment_id: int, partition_id: int = 0, flags: int = 0) -> bytes:
@@ -39,25 +45,55 @@ def pack_record(sequence: int, timestamp_ns: int, content: bytes, link: bytes =
     return body + struct.pack("<I", int(crc32c_of([body])[0]))
 
 
-def parse(path: str, data: bytes) -> list[tuple]:
-    """The rows of one file."""
+def pack_frame(raw: bytes, compressed: bool = True) -> bytes:
+    """A frame that is not encrypted."""
+    import zstandard
+
+    payload = zstandard.compress(raw) if compressed else raw
+    return struct.pack("<II", len(payload), len(raw)) + payload
+
+
+def frames(path: str, data: bytes) -> Iterator[tuple]:
+    """(path, segment_id, partition_id, flags, frame, payload, raw_size, corrupt): a file without frames is one payload."""
     if len(data) < HEADER_BYTES:
-        return [(path, None, None, None, None, None, None, "header is cut off")]
+        yield path, None, None, 0, 0, None, None, "header is cut off"
+        return
     magic, version, flags, _, _, _, partition, segment, _, _, crc, *_ = _HEADER.unpack_from(data)
-    why = (
-        "magic"
-        if magic != MAGIC
-        else "version"
-        if version != VERSION
-        else "header checksum"
-        if crc != int(crc32c_of([data[:72]])[0])
-        else "compressed or encrypted"
-        if flags & (FLAG_COMPRESSED | FLAG_ENCRYPTED)
-        else None
-    )
+    why = "magic" if magic != MAGIC else "version" if version != VERSION else "header checksum" if crc != int(crc32c_of([data[:72]])[0]) else None
     if why:
-        return [(path, None, None, None, None, None, None, why)]
-    rows, bodies, at = [], [], HEADER_BYTES
+        yield path, None, None, 0, 0, None, None, why
+    elif not flags & (FLAG_COMPRESSED | FLAG_ENCRYPTED):
+        yield path, segment, partition, flags, 0, data[HEADER_BYTES:], None, None
+    else:
+        at, k = HEADER_BYTES, 0
+        while at + _FRAME.size <= len(data):
+            stored, raw = _FRAME.unpack_from(data, at)
+            if stored == 0:  # preallocated space
+                return
+            at += _FRAME.size
+            if at + stored > len(data):
+                yield path, segment, partition, flags, k, None, raw, "frame is cut off"
+                return
+            yield path, segment, partition, flags, k, data[at : at + stored], raw, None
+            at, k = at + stored, k + 1
+
+
+def records_of(path: str, segment: int, partition: int, flags: int, payload: bytes | None, raw_size: int | None) -> list[tuple]:
+    """The rows of one payload, which is no longer encrypted."""
+    if payload is None:
+        return [(path, segment, partition, None, None, None, None, "no key opens the frame")]
+    data = payload
+    if flags & FLAG_COMPRESSED:
+        import zstandard
+
+        try:
+            # An object of its own for each frame: a frame's raw size bounds what it may become.
+            data = zstandard.ZstdDecompressor().decompress(payload, max_output_size=max(1, raw_size))
+        except zstandard.ZstdError:
+            return [(path, segment, partition, None, None, None, None, "frame does not decompress")]
+    if raw_size is not None and len(data) != raw_size:
+        return [(path, segment, partition, None, None, None, None, "frame length")]
+    rows, bodies, at = [], [], 0
     while at + 4 <= len(data):
         (length,) = struct.unpack_from("<I", data, at)
         if length == 0:  # preallocated space
@@ -80,16 +116,45 @@ def parse(path: str, data: bytes) -> list[tuple]:
     return [tuple(r) for r in rows]
 
 
-def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of SCHEMA of all segment files that ``path`` (a folder or pattern of any store that Spark reads) holds."""
+def parse(path: str, data: bytes) -> list[tuple]:
+    """The rows of one file that is not encrypted."""
+    rows = []
+    for _, segment, partition, flags, _, payload, raw, why in frames(path, data):
+        if why:
+            rows.append((path, segment, partition, None, None, None, None, why))
+        else:
+            rows += records_of(path, segment, partition, flags, None if flags & FLAG_ENCRYPTED else payload, raw)
+    return rows
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
+
+def read_segments(spark: SparkSession, path: str, keys: list[bytes] | None = None) -> DataFrame:
+    """Rows of SCHEMA of all segment files that ``path`` (a folder or pattern of any store that Spark reads) holds.
+
+    ``keys``: the ring of keys of 32 bytes that encrypted frames are tried with, in the JVM.
+    """
+    integers = ("segment_id", "partition_id", "sequence", "timestamp_ns", "flags", "frame", "raw_size")
+
+    def table(found: list[tuple], schema: str) -> pd.DataFrame:
+        names = [c.split()[0] for c in schema.split(", ")]
+        return pd.DataFrame(found, columns=names).astype({c: "Int64" for c in names if c in integers})
+
+    def framed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, data in zip(pdf["path"], pdf["content"]):
-                found = parse(name, bytes(data))
+                for frame in frames(name, bytes(data)):
+                    yield table([frame], _FRAMES)
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False):
+                if r.corrupt is not None:
+                    found = [(r.path, r.segment_id, r.partition_id, None, None, None, None, r.corrupt)]
+                else:
+                    found = records_of(r.path, r.segment_id, r.partition_id, r.flags, None if r.payload is None else bytes(r.payload), r.raw_size)
                 if found:
-                    yield pd.DataFrame(found, columns=names).astype({c: "Int64" for c in ("segment_id", "partition_id", "sequence", "timestamp_ns")})
+                    yield table(found, SCHEMA)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.log").load(path).select("path", "content")
-    return files.mapInPandas(rows, SCHEMA)
+    sealed = F.col("flags").bitwiseAND(F.lit(FLAG_ENCRYPTED)) != 0
+    opened = F.when(sealed, decrypt_with_ring(F.col("payload"), keys) if keys else F.lit(None).cast("binary")).otherwise(F.col("payload"))
+    return files.mapInPandas(framed, _FRAMES).withColumn("payload", opened).mapInPandas(rows, SCHEMA)
