@@ -356,6 +356,12 @@ def append_single_stream(spark, sf_dir):
     return writer.assign_seq_single(events, 0, "event_id").where("seq % 10 = 0").select("event_type", "seq")
 
 
+@query(R + "select event_type, seq from r")
+def append_single_stream_all(spark, sf_dir):
+    """Every appended row; append_single_stream and its SQL have each tenth."""
+    return writer.assign_seq_single(_table(spark, sf_dir, "events"), 0, "event_id").select("event_type", "seq")
+
+
 _BAD = "case when event_id % 11 = 0 then 'namespace' when event_id % 13 = 0 then 'stream' when event_id % 17 = 0 then 'metadata' when event_id % 19 = 0 then 'content' when event_id % 23 = 0 then 'event_type' when event_id % 29 = 0 then 'metadata_key' else 'none' end"
 
 

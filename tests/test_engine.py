@@ -12,12 +12,14 @@ from eventlake.functions.crypto import encrypt
 from eventlake.functions.hashes import blake3_of
 from eventlake.operators import catalog, consumers, integrity, live, retention, writer
 from eventlake.operators.query import number_rows
+from eventlake.plans.queries import QUERIES
 from eventlake.schema import MARKER
 from eventlake.sources import adapters, envelope, reads, segments
 
 from .test_query import log
 
 CHECK = 0xE3069283
+DIR = "/root/testdata/sf0.001"
 
 
 def value(spark, c):
@@ -317,3 +319,8 @@ def test_adapters_have_the_record_columns(spark):
     for make, name in ((adapters.events_log, "events"), (adapters.events_by_user, "events"), (adapters.conversations_log, "conversations"), (adapters.lineitem_log, "lineitem"), (adapters.orders_log, "orders")):
         got = make(spark.read.parquet(f"{d}/{name}.parquet"))
         assert [(f.name, f.dataType.simpleString()) for f in got.schema] == [(f.name, f.dataType.simpleString()) for f in log(spark, []).schema], name
+
+
+def test_single_stream_query_returns_every_row(spark):
+    rows = QUERIES["append_single_stream_all"](spark, DIR).collect()
+    assert sorted(r.seq for r in rows) == list(range(1, spark.read.parquet(f"{DIR}/events.parquet").count() + 1))
