@@ -564,11 +564,23 @@ def leader_pick(spark, sf_dir):
 r as (select *, row_number() over (partition by "group" order by joined, member) - 1 as rank, count(*) over (partition by "group") as n from m)
 select r."group", shard, member from r, (select unnest(range(16)) as shard) where rank = shard % n""")
 def assign_round_robin(spark, sf_dir):
-    members = _table(spark, sf_dir, "orders").where("o_custkey < 90").groupBy((F.col("o_custkey") % 20).alias("group"), F.col("o_custkey").alias("member")).agg(F.min("o_orderkey").alias("joined"))
+    return _assigned(_table(spark, sf_dir, "orders").where("o_custkey < 90"))
+
+
+def _assigned(orders: DataFrame) -> DataFrame:
+    members = orders.groupBy((F.col("o_custkey") % 20).alias("group"), F.col("o_custkey").alias("member")).agg(F.min("o_orderkey").alias("joined"))
     shards = members.select("group").distinct().select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("shard"))
     return consumers.assign_round_robin(shards, members)
 
 
+@query("""with m as (select o_custkey % 20 as "group", o_custkey as member, min(o_orderkey) as joined from orders group by all),
+r as (select *, row_number() over (partition by "group" order by joined, member) - 1 as rank, count(*) over (partition by "group") as n from m)
+select r."group", shard, member from r, (select unnest(range(16)) as shard) where rank = shard % n""")
+def assign_round_robin_all(spark, sf_dir):
+    """All customers as members: groups of more members than shards, too, which assign_round_robin and its SQL don't have."""
+    return _assigned(_table(spark, sf_dir, "orders"))
+
+
 def _assignment(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("g", s, f"m{s % 2}") for s in (0, 1, 3)], "group string, shard long, member string")
 

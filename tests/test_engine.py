@@ -324,3 +324,15 @@ def test_adapters_have_the_record_columns(spark):
 def test_single_stream_query_returns_every_row(spark):
     rows = QUERIES["append_single_stream_all"](spark, DIR).collect()
     assert sorted(r.seq for r in rows) == list(range(1, spark.read.parquet(f"{DIR}/events.parquet").count() + 1))
+
+
+def test_round_robin_query_has_groups_of_more_members_than_shards(spark):
+    at = "/root/testdata/sf0.01"
+    joined: dict[int, dict[int, int]] = {}
+    for r in spark.read.parquet(f"{at}/orders.parquet").select("o_custkey", "o_orderkey").collect():
+        group = joined.setdefault(r.o_custkey % 20, {})
+        group[r.o_custkey] = min(r.o_orderkey, group.get(r.o_custkey, r.o_orderkey))
+    assert min(map(len, joined.values())) > 16
+    want = {(g, i, c) for g, m in joined.items() for i, c in enumerate(sorted(m, key=lambda c: (m[c], c))[:16])}
+    rows = QUERIES["assign_round_robin_all"](spark, at).collect()
+    assert len(rows) == len(want) and {(r.group, r.shard, r.member) for r in rows} == want
