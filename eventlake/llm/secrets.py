@@ -32,10 +32,10 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_ASSIGN, MIN_ACCESS = 6, 20
 KINDS = ["assign", "access", "hex", "weak_id", "weak_secret", "weak_endpoint"]
 
-# Weak parts of a credential.
-_WEAK_ID = re.compile(r"""(?i:client_?id|user(?:name)?|login|account|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,128})""", re.ASCII)
-_WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,128}(?![A-Za-z0-9+/_=-])")
-_WEAK_ENDPOINT = re.compile(r"https?://[^\s\"'<>]{4,256}|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?(?![0-9.])", re.ASCII)
+# Weak parts of a credential, of any length: a span is the whole run.
+_WEAK_ID = re.compile(r"""(?i:client_?id|user(?:name)?|login|account|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.ASCII)
+_WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
+_WEAK_ENDPOINT = re.compile(r"https?://[^\s\"'<>]{4,}|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?(?![0-9.])", re.ASCII)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

@@ -352,6 +352,16 @@ def test_secrets(spark):
     assert rows[6].spans == rows[7].spans == ""
 
 
+def test_weak_parts_of_any_length():
+    rng = random.Random(8)
+    letters = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789"
+    key = "".join(rng.choices(letters, k=300))
+    who, url = "a@" + "b1" * 100, "https://h.example/" + "x" * 400
+    text = f"login={who} {key} {url} {key[:40]}"
+    spans = {(text[a:b], secrets.KINDS[k]) for a, k, b in secrets.linked_spans(text, [])}
+    assert spans == {(f"login={who}", "weak_id"), (key, "weak_secret"), (url, "weak_endpoint"), (key[:40], "weak_secret")}
+
+
 def test_linking_matches_brute_force():
     rng = random.Random(4)
     for _ in range(300):
