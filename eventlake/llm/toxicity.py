@@ -38,8 +38,9 @@ FIT_ROWS, LANDMARKS, CANDIDATES = 8000, 64, 600
 ROUNDS, WORST = 3, 6
 #: Share of a landmark's subsequences from which a string is another form of it; before the first round such words are toxic.
 SAME = 0.85
-#: Share of toxic documents that must hold a landmark, how much rarer it must be in clean ones, and its gain against the best one's.
-MIN_SHARE, MIN_RATIO, MIN_GAIN = 0.02, 10, 0.1
+#: Distinct toxic documents that must hold a landmark, how much rarer it must be in clean ones, and its evidence: chance gives
+#: a string so large a share of toxic ones with a probability of exp(-MIN_EVIDENCE) at most (6e-6).
+MIN_ROWS, MIN_RATIO, MIN_EVIDENCE = 4, 10, 12.0
 #: Power of the relative kernel (a product of kernels is a kernel): chance matches fade, near matches stay.
 POWER = 3.0
 #: Remainder of crc32(doc_id) mod 5 of the rows that are held out; score from which a document is predicted toxic.
@@ -79,9 +80,10 @@ class SubsequenceKernel:
     def __init__(self, landmarks: list[bytes]):
         self.landmarks = landmarks
         counts = np.bincount(np.frombuffer(b"".join(landmarks) or b"\0", np.uint8), minlength=256)
-        known = [b for b in np.argsort(-counts, kind="stable") if counts[b] and b][:31]
+        known = [b for b in np.argsort(-counts, kind="stable") if counts[b] and b]
         self.code = np.zeros(256, np.int32)
         self.code[known] = np.arange(1, len(known) + 1)
+        self.base = base = len(known) + 1
         grams: dict[int, dict[int, float]] = {}
         for j, word in enumerate(landmarks):
             c = self.code[np.frombuffer(word, np.uint8)]
@@ -89,9 +91,9 @@ class SubsequenceKernel:
                 for i in range(len(c) - d2):
                     a, b, e = int(c[i]), int(c[i + d1]), int(c[i + d2])
                     if a and b and e:
-                        row = grams.setdefault(a << 10 | b << 5 | e, {})
+                        row = grams.setdefault((a * base + b) * base + e, {})
                         row[j] = max(row.get(j, 0.0), DECAY ** (d2 + 1))
-        self.row = np.zeros(1 << 15, np.int32)
+        self.row = np.zeros(base**3, np.int32)
         self.weight = np.zeros((len(grams) + 1, len(landmarks)), np.float32)
         for k, (gram, by) in enumerate(grams.items(), 1):
             self.row[gram] = k
@@ -108,11 +110,11 @@ class SubsequenceKernel:
         sizes = np.fromiter(map(len, strings), np.int64, len(strings)) + len(_PAD)
         of = np.repeat(np.arange(len(strings), dtype=np.int32), sizes)
         c = self.code[flat]
+        c1, c2 = c * self.base, c * self.base**2
         n = len(c) - len(_PAD)
         words, rows, decays = [], [], []
         for d1, d2 in _OFFSETS:
-            a, b, e = c[:n], c[d1 : n + d1], c[d2 : n + d2]
-            row = self.row[a << 10 | b << 5 | e]
+            row = self.row[c2[:n] + c1[d1 : n + d1] + c[d2 : n + d2]]
             at = np.flatnonzero(row)
             words.append(of[at])
             rows.append(row[at])
@@ -221,7 +223,7 @@ def choose_landmarks(sample: DataFrame, n: int = LANDMARKS, candidates: int = CA
             for t in text_bytes(texts):
                 found = set()
                 for w in units(t):
-                    if 4 <= len(w) <= 12:
+                    if 3 <= len(w) <= 12:
                         found.add(w)
                     found.update(w[:k] for k in (4, 5, 6, 7) if len(w) > k)
                 rows.append([w.hex() for w in found])
@@ -238,10 +240,13 @@ def choose_landmarks(sample: DataFrame, n: int = LANDMARKS, candidates: int = CA
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     # Documents with the string, surprise at how much likelier it is in toxic ones.
     gain = F.col("a") * F.log((a / pos) / (b / neg))
-    # A string of few documents may be a copied passage's: a share of the toxic ones must have it.
-    best = counts.where((F.col("a") >= max(4.0, MIN_SHARE * pos)) & (a / pos > MIN_RATIO * b / neg)).withColumn("gain", gain)
+    # Chernoff's bound, to the power of e: how unlikely so many toxic ones are, among those with the string, at the sample's share.
+    n_with = F.col("a") + F.col("b")
+    seen = lambda k, share: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (n_with * share))).otherwise(0.0)
+    evidence = seen("a", pos / (pos + neg)) + seen("b", neg / (pos + neg))
+    best = counts.where((F.col("a") >= MIN_ROWS) & (a / pos > MIN_RATIO * b / neg) & (evidence >= MIN_EVIDENCE)).withColumn("gain", gain)
     rows = best.orderBy(F.desc("gain"), F.length("s").desc(), "s").limit(candidates).collect()
-    strings = [bytes.fromhex(r.s) for r in rows if r.gain >= MIN_GAIN * rows[0].gain]
+    strings = [bytes.fromhex(r.s) for r in rows]
     if not strings:
         return []
     kernel = SubsequenceKernel(strings)

@@ -149,6 +149,25 @@ def test_toxicity(spark):
     assert not any(by[i] for i in range(1000, 1000 + len(ODD)))
 
 
+def test_rare_insults_are_landmarks(spark):
+    docs, _ = toxic_corpus(3600, 3)
+    rows = []
+    for i, t, *_ in docs:
+        t = re.sub("zwolch|krampig|bumfozz", "an", t)
+        insult = ("krampig" if i < 60 else "zwolch") if i % 4 == 0 else "an"
+        rows.append((i, f"{t} {insult}", int(i % 4 == 0)))
+    found = toxicity.choose_landmarks(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert any(b"krampig".startswith(w) for w in found) and any(b"zwolch".startswith(w) for w in found), found
+
+
+def test_kernel_knows_all_bytes_of_its_landmarks():
+    landmarks = ["abcdefghijkl".encode(), "mnopqrstuvwx".encode(), "абвгде".encode(), "жзийкл".encode(), "αβγδεζ".encode(), "ηθικλμ".encode()]
+    kernel = toxicity.SubsequenceKernel(landmarks)
+    assert len(set(b"".join(landmarks))) > 31 and (kernel.code[list(b"".join(landmarks))] > 0).all()
+    assert np.diag(kernel.relative(landmarks)) == pytest.approx(1.0)
+    assert kernel.own[0] == pytest.approx(kernel.own[1], rel=1e-5)
+
+
 def test_toxicity_without_labels(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
