@@ -119,21 +119,29 @@ def near_duplicates(df: DataFrame, text: str = "text") -> DataFrame:
     Rows without a doc_id have the component of their fingerprint, null where
     nobody in it has an id.  Rows that repeat come back as often.
     """
-    docs = checkpoint(with_fingerprint(df.select("doc_id", ref(text).alias("text"))).select("doc_id", "fp"))
+    return _grouped(df.select("doc_id", ref(text).alias("text"))).select("doc_id", "fp", "component_id")
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    """near_duplicates() of (doc_id, text), with text_hash."""
+    docs = checkpoint(with_fingerprint(rows.withColumn("text_hash", F.xxhash64("text"))).select("doc_id", "fp", "text_hash"))
     by_fp = checkpoint(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(by_fp.select("fp")))
     rooted = by_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = checkpoint(rooted.join(groups, "root").select("fp", "component_id"))
     # A fingerprint that many copies share is a hot key of docs: AQE splits it, for the other side has one row for each.
-    return docs.join(moved, "fp", "left").select("doc_id", "fp", "component_id")
+    return docs.join(moved, "fp", "left").select("doc_id", "fp", "component_id", "text_hash")
 
 
 def drop_near_duplicates(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with one document of each group: the one of the smallest doc_id.  Rows without an id stay, and so do all rows of an id that stays."""
-    found = near_duplicates(df, text)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__el_id")).distinct()
-    return df.join(gone, F.col("doc_id") == F.col("__el_id"), "left_anti")
+    """df with one document of each group: the one of the smallest doc_id, with all rows of that id in the group.
+
+    Rows without an id stay.  A doc_id of several texts loses only those whose group has a smaller id.
+    """
+    found = _grouped(df.select("doc_id", ref(text).alias("text")))
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__el_id"), F.col("text_hash").alias("__el_h")).distinct()
+    return df.join(gone, (F.col("doc_id") == F.col("__el_id")) & (F.xxhash64(ref(text)) == F.col("__el_h")), "left_anti")
 
 
 def digests(df: DataFrame) -> DataFrame:

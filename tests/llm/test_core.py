@@ -224,6 +224,12 @@ def test_simhash_query(docs):
     assert simhash.digests(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    copy, own = "one two three four five six", "quite another text of its own words"
+    df = spark.createDataFrame([(1, copy), (2, copy), (2, own)], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.drop_near_duplicates(df).collect())) == [(1, copy), (2, own)]
+
+
 def test_simhash_links_are_complete(spark):
     rng = random.Random(5)
     fps = [rng.getrandbits(64) for _ in range(20)]
