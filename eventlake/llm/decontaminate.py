@@ -213,7 +213,7 @@ def _match_block(df: DataFrame, items: list[tuple[str, bytes]], text: str, windo
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str, bytes]]]:
     """The items, dealt by hash into blocks of about ``block_bytes``, one collected at a time."""
-    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(
+    items = benchmark.where(F.col("text").isNotNull()).select(
         F.col("item_id").cast("string").alias("item_id"), F.col("text")
     )
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -230,8 +230,8 @@ def find_contamination(
 
     A window is ``window`` consecutive words of an item, or all words of a
     shorter one; matches are the longest verbatim runs of at least a window.
-    Null texts have no words, items without words or id have no windows, items
-    that repeat are each matched.  A benchmark of up to ``block_bytes`` takes one
+    Null texts have no words, items without words have no windows, items that
+    repeat are each matched, and those without an id match with a null item_id.  A benchmark of up to ``block_bytes`` takes one
     pass without a shuffle; a larger one takes a pass for each block, and only
     rows with matches are brought together.  Rows keep their multiplicity.
     """
@@ -278,7 +278,8 @@ def remove_contaminated(df: DataFrame, benchmark: DataFrame, **options) -> DataF
 def digests(df: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match."""
     found = find_contamination(df.select("doc_id", "text"), benchmark)
-    items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
+    # Items without an id count as hits, but can't be named.
+    items = F.array_sort(F.array_distinct(F.filter(F.transform("matches", lambda m: m["item_id"]), lambda i: i.isNotNull())))
     return found.select(
         "doc_id",
         "n_words",

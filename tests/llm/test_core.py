@@ -142,6 +142,15 @@ def test_decontamination(spark, docs, block_bytes):
         assert kept.columns == docs.columns and kept.count() == sum(not r.contaminated for r in rows)
 
 
+def test_items_without_an_id_are_matched(spark):
+    bench = spark.createDataFrame([(None, "one two three four five six"), (7, "a b c")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "zero one two three four five six"), (2, "x a b c"), (3, "clean")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in decontaminate.digests(df, bench).collect()}
+    assert [(rows[i].contaminated, rows[i].n_hit, rows[i].n_items) for i in (1, 2, 3)] == [(True, 6, 0), (True, 3, 1), (False, 0, 0)]
+    assert rows[1].items_sha256 == rows[3].items_sha256 and rows[1].longest_match == 6
+    assert [r.doc_id for r in decontaminate.remove_contaminated(df, bench).collect()] == [3]
+
+
 def test_decontamination_empty(spark, docs):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in decontaminate.digests(docs, empty).collect()} == {0}
