@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_apply, draw, id_remainder, ref, struct_array
+from .common import arrow_apply, checkpoint, draw, id_remainder, ref, struct_array
 
-#: The fit's documented bounds: labelled documents, and lines of one of them, drawn evenly over the whole text.
+#: The fit's documented bounds: labelled documents, and lines of one of them on average; a document is drawn whole or not.
 FIT_ROWS, FIT_LINES = 6000, 200
+#: Lines of a group of chains, with padding, unless one chain alone has more.
+PADDED_LINES = 256 * 200
 #: Remainder of crc32(doc_id) mod 4 of the rows that are held out.
 FOLDS, HELD_OUT = 4, 2
 #: Score from which a document is predicted good.
@@ -180,8 +182,14 @@ def fit_crf(docs: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 250, ra
     spread[WIDTH - 1] = 1.0
     docs = sorted(docs, key=lambda d: len(d[0]))
     groups = []
-    for i in range(0, len(docs), 256):  # chains of about one length
-        part = docs[i : i + 256]
+    rest = docs
+    while rest:  # chains of about one length, padded to few lines in all
+        part = rest[:1]
+        for d in rest[1:256]:
+            if len(d[0]) * (len(part) + 1) > PADDED_LINES:
+                break
+            part.append(d)
+        rest = rest[len(part) :]
         n = max(len(x) for x, *_ in part)
         x = np.zeros((len(part), n, width), np.float32)
         mask, y = np.zeros((len(part), n)), np.zeros((len(part), n))
@@ -233,8 +241,9 @@ def _logistic(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(df: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_lines: int = FIT_LINES) -> LineCrf:
     """From at most ``fit_rows`` labelled rows outside the held-out fold, drawn by the hash of their id.
 
-    Features are taken by the executors; the driver gets at most ``fit_lines``
-    lines of each.  A doc_id labelled twice has its larger label.
+    Features are taken by the executors; the driver gets whole documents, of
+    ``fit_rows`` times ``fit_lines`` lines at most: a document that exceeds what is
+    left is not drawn.  A doc_id labelled twice has its larger label.
     """
     known = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
@@ -250,14 +259,19 @@ def fit(df: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_lines: i
             out = []
             for t in texts:
                 x, w = line_features(t.as_py() or "")
-                if len(x) > fit_lines:
-                    at = np.linspace(0, len(x) - 1, fit_lines).astype(int)
-                    x, w = x[at], w[at]
                 out.append((x.astype("<f8").tobytes(), w.astype("<f8").tobytes()))
             yield struct_array([list(c) for c in zip(*out)] or [[], []], [("x", pa.binary()), ("w", pa.binary())])
 
     # fit_rows bounds this side: two numbers a row.
-    texts = df.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    texts = checkpoint(df.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"))
+    lines = F.sum(F.size(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("n")
+    left, out = fit_rows * fit_lines, []
+    for r in texts.groupBy("doc_id").agg(lines).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r.n <= left:
+            left -= r.n
+        else:
+            out.append(r.doc_id)
+    texts = texts.where(~F.col("doc_id").isin(out)) if out else texts
     rows = arrow_apply(texts, [ref("text")], schema, process).select("doc_id", "quality", "x", "w").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.x)))
     return fit_crf([(np.frombuffer(r.x, "<f8").reshape(-1, WIDTH), np.frombuffer(r.w, "<f8"), int(r.quality == 1)) for r in rows])

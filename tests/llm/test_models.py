@@ -235,6 +235,19 @@ def test_quality_crf(spark, quality):
     assert quality_crf.digests(df.limit(0), none).count() == 0
 
 
+def test_fit_takes_whole_documents(spark, monkeypatch):
+    texts = ["\n".join(f"line {i} {k} of some words" for k in range(n)) for i, n in enumerate([450, 3, 250, 7, 900, 5])]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts) if crc(i, quality_crf.FOLDS) != quality_crf.HELD_OUT], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality_crf, "fit_crf", lambda docs: seen.append(sorted(len(x) for x, *_ in docs)))
+    sizes = sorted(t.count("\n") + 1 for t in [r.text for r in df.collect()])
+    quality_crf.fit(df, labels)
+    quality_crf.fit(df, labels, fit_lines=1, fit_rows=sizes[-1])
+    assert max(sizes) > 200 and seen[0] == sizes
+    assert sum(seen[1]) <= sizes[-1] and set(seen[1]) <= set(sizes)
+
+
 def test_chain_marginals_match_enumeration():
     from itertools import product
 
