@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashes import blake3_chain, blake3_of
 from ..functions.checksum import sha256_chain
 from ..schema import STREAM
+from .ranges import with_previous
 
 #: The link before a chain's first record; the key itself in a keyed chain.
 GENESIS = bytes(32)
@@ -20,7 +21,8 @@ def verify_chain(records: DataFrame, by: list[str] | None = None, from_seq: int
     """For each stream: ok, verified_from, verified_to, error_at_seq and n_records; tombstoned records count.
 
     The numbers must rise by one from the first; a gap or a repeat is reported
-    at the number that was expected, 0 where all is well.
+    at the number that was expected, 0 where all is well.  A stream of very many
+    records is checked in ranges of its numbers.
     """
     by = by or STREAM
     rows = records.select(*by, "seq")
@@ -28,11 +30,9 @@ def verify_chain(records: DataFrame, by: list[str] | None = None, from_seq: int
         rows = rows.where(F.col("seq") >= from_seq)
     if to_seq is not None:
         rows = rows.where(F.col("seq") <= to_seq)
-    order = Window.partitionBy(*by).orderBy("seq")
-    first = F.first("seq").over(order)
-    expected = first + F.row_number().over(order) - 1
-    checked = rows.withColumn("expected", expected.cast("long"))
-    wrong = F.when(F.col("seq") != F.col("expected"), F.col("expected"))
+    # Until the first error each number is the one before and one more, so the least wrong expectation is the first.
+    checked = with_previous(rows, "seq", "seq", by, "__before")
+    wrong = F.when(F.col("seq") != F.col("__before") + 1, F.col("__before") + 1)
     return checked.groupBy(*by).agg(
         F.count(wrong).alias("n_wrong"),
         F.min("seq").alias("verified_from"),
@@ -46,11 +46,11 @@ def verify_hashes(records: DataFrame, by: list[str] | None = None, order: str =
     """Records with ``linked``: whether hash_n is the link of the hash before and the content.
 
     Links are SHA-256, with a ``key`` of 32 bytes keyed BLAKE3.  Each link needs
-    only the stored one before it, so chains are checked in parallel.
+    only the stored one before it, so chains are checked in parallel, and a long
+    one in ranges of ``order``.
     """
     by = by or ["shard_id"]
-    before = F.coalesce(F.lag("hash_n", 1).over(Window.partitionBy(*by).orderBy(order)), F.lit(key or GENESIS))
-    before_each = records.withColumn("__before", before)
+    before_each = with_previous(records, "hash_n", order, by, "__before").withColumn("__before", F.coalesce("__before", F.lit(key or GENESIS)))
     link = blake3_chain(F.col("__before"), F.col("content"), key) if key else sha256_chain(F.col("__before"), F.col("content"))
     return before_each.withColumn("linked", F.coalesce(F.col("hash_n") == link, F.lit(False))).drop("__before")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ids import gid_local
 from ..schema import MARKER, STREAM
 
 
@@ -23,9 +24,6 @@ def live(records: DataFrame, cutoffs: DataFrame | None = None, marker: str = MAR
     return records.join(cutoffs, STREAM, "left").where(F.col("seq") > F.coalesce("cutoff", F.lit(0))).drop("cutoff")
 
 
-def within_boundary(records: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Records whose local number is below their shard's bound; ``bounds``: (shard_id, bound), shards that it lacks show nothing.
-
-    The gid's local part is taken by the number of shards in ``bounds``' gids, so it has a local_seq column where records lack it.
-    """
-    return records.join(bounds, "shard_id").where(F.col("local_seq") < F.col("bound")).drop("bound")
+def within_boundary(records: DataFrame, bounds: DataFrame, shards: int) -> DataFrame:
+    """Records whose gid's local number is below their shard's bound; ``bounds``: (shard_id, bound), shards that it lacks show nothing."""
+    return records.join(bounds, "shard_id").where(gid_local(F.col("gid"), shards) < F.col("bound")).drop("bound")

@@ -11,11 +11,13 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 from enum import Enum
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import u64
 from ..schema import PROMOTED
+from ..sources.store import stored
+from .ranges import number_rows
 
 
 class Result(Enum):
@@ -132,28 +134,9 @@ def build(records: DataFrame, q: LogQuery) -> DataFrame:
 
 def _distinct_values(rows: DataFrame, value: Column, descending: bool, limit: int) -> DataFrame:
     first = rows.select(value.alias("value"), "seq").where(F.col("value").isNotNull()).groupBy("value").agg(F.min("seq").alias("first"))
-    order = F.col("first").desc() if descending else F.col("first").asc()
     if limit:
-        from pyspark.sql import Window
-
+        order = F.col("first").desc() if descending else F.col("first").asc()
         top = first.orderBy(order).limit(limit)  # a bounded number of rows is numbered in one place
         return top.select("value", F.row_number().over(Window.orderBy(order)).cast("long").alias("pos"))
-    return number_rows(first.select("value", "first"), order).select("value", "pos")
-
-
-def number_rows(df: DataFrame, *order: Column) -> DataFrame:
-    """df with ``pos``, from 1 in the global order, without a window over everything in one task.
-
-    Rows are sorted into ranges; each range's size is counted, and a row's place
-    is its place in the range after the sizes of those before.
-    """
-    from pyspark.sql import Window
-
-    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    # One row for each partition of the exchange, which bounds this side.
-    offsets = sizes.select(
-        "__part", (F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n")).alias("__before")
-    )
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return ranged.withColumn("__at", within).join(F.broadcast(offsets), "__part").withColumn("pos", (F.col("__before") + F.col("__at")).cast("long")).drop("__part", "__at", "__before")
+    # Numbering reads its input more than once: the distinct values are stored, for they cost a pass over all records.
+    return number_rows(stored(first), "first", descending=descending).select("value", "pos")

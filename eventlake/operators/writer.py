@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.checksum import crc32c
 from ..functions.ids import encode_gid, gid_local
 from ..functions.names import rejection
 from ..schema import COLUMNS, CONTENT_BYTES, DEFAULT_CONTENT_TYPE, MARKER, PROMOTED, STREAM
-from .query import number_rows
+from .live import live
+from .ranges import number_rows
 from .retention import quota_check, quota_usage
 
 
@@ -33,15 +34,19 @@ def with_defaults(incoming: DataFrame, now: datetime.datetime | None = None) ->
 
 
 def assign_seq(incoming: DataFrame, records: DataFrame, arrival: str = "arrival") -> DataFrame:
-    """Incoming rows with seq: after each stream's last one, from 1, by ``arrival``."""
+    """Incoming rows with seq: after each stream's last one, from 1, by ``arrival``; a stream of very many rows is numbered in ranges."""
     last = records.groupBy(*STREAM).agg(F.max("seq").alias("__last"))
-    number = F.row_number().over(Window.partitionBy(*STREAM).orderBy(arrival))
-    return incoming.withColumn("__n", number).join(last, STREAM, "left").withColumn("seq", (F.coalesce("__last", F.lit(0)) + F.col("__n")).cast("long")).drop("__n", "__last")
+    return number_rows(incoming, arrival, STREAM, column="__n", ties=_told(incoming)).join(last, STREAM, "left").withColumn("seq", (F.coalesce("__last", F.lit(0)) + F.col("__n")).cast("long")).drop("__n", "__last")
 
 
 def assign_seq_single(incoming: DataFrame, last: int, arrival: str = "arrival") -> DataFrame:
     """The same for one huge stream: numbers from ranges of arrivals and their sizes, not from one task."""
-    return number_rows(incoming, F.col(arrival).asc()).withColumn("seq", F.col("pos") + last).drop("pos")
+    return number_rows(incoming, arrival, ties=_told(incoming)).withColumn("seq", F.col("pos") + last).drop("pos")
+
+
+def _told(incoming: DataFrame) -> list[str]:
+    """Columns that tell rows of one arrival apart, so that their numbers are the same however often they are given."""
+    return [c for c in ("event_type", "timestamp_ns", "content") if c in incoming.columns]
 
 
 def route(incoming: DataFrame, shards: int, key: str | None = None) -> DataFrame:
@@ -50,12 +55,12 @@ def route(incoming: DataFrame, shards: int, key: str | None = None) -> DataFrame
     return incoming.withColumn("shard_id", F.pmod(where, F.lit(shards)).cast("int"))
 
 
-def assign_gid(routed: DataFrame, records: DataFrame, shards: int) -> DataFrame:
-    """Routed rows with gid: local numbers go on after each shard's last one, by stream and seq."""
+def assign_gid(routed: DataFrame, records: DataFrame, shards: int, arrival: str = "arrival") -> DataFrame:
+    """Routed rows with gid: local numbers go on after each shard's last one, by ``arrival``; a shard is numbered in ranges."""
     last = records.groupBy("shard_id").agg(F.max(gid_local(F.col("gid"), shards)).alias("__last"))
-    number = F.row_number().over(Window.partitionBy("shard_id").orderBy(*STREAM, "seq"))
     local = F.coalesce("__last", F.lit(-1)) + F.col("__n")
-    return routed.withColumn("__n", number).join(last, "shard_id", "left").withColumn("gid", encode_gid(local, F.col("shard_id"), shards)).drop("__n", "__last")
+    numbered = number_rows(routed, arrival, ["shard_id"], column="__n", ties=[*STREAM, "seq"])
+    return numbered.join(last, "shard_id", "left").withColumn("gid", encode_gid(local, F.col("shard_id"), shards)).drop("__n", "__last")
 
 
 def promote(records: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,7 +70,7 @@ def promote(records: DataFrame, keys: list[str]) -> DataFrame:
 
 def append(incoming: DataFrame, records: DataFrame, shards: int, key: str | None = None, arrival: str = "arrival") -> DataFrame:
     """Incoming rows as records, complete but for a hash chain; writing them is one job, which is what makes a batch atomic."""
-    rows = assign_gid(route(assign_seq(with_defaults(incoming), records, arrival), shards, key), records, shards)
+    rows = assign_gid(route(assign_seq(with_defaults(incoming), records, arrival), shards, key), records, shards, arrival)
     kept = [c for c in COLUMNS if c in rows.columns]
     return rows.select(*kept)
 
@@ -83,7 +88,7 @@ def batch_append(incoming: DataFrame, records: DataFrame, shards: int, quotas: D
 
 
 def delete_stream(records: DataFrame, namespace: str, stream: str, shards: int, marker: str = MARKER) -> DataFrame:
-    """The marker to append, which deletes all of the stream so far."""
+    """The marker to append, which deletes all of the stream so far; :func:`live_count` before it is what it deletes."""
     spark = records.sparkSession
     row = spark.createDataFrame(
         [(namespace, stream, marker, 1)], "namespace string, stream string, event_type string, arrival long"
@@ -91,9 +96,21 @@ def delete_stream(records: DataFrame, namespace: str, stream: str, shards: int,
     return append(row, records, shards)
 
 
+def live_count(records: DataFrame, namespace: str, stream: str, marker: str = MARKER) -> DataFrame:
+    """(n): how many live records a marker appended now would delete."""
+    of = records.where((F.col("namespace") == namespace) & (F.col("stream") == stream))
+    return live(of, marker=marker).agg(F.count(F.lit(1)).alias("n"))
+
+
 def write(rows: DataFrame, path: str, rows_per_file: int = 0) -> None:
-    """Append records to a table of Parquet files by namespace and shard, sorted by gid, so that gid ranges skip row groups."""
-    out = rows.repartition("namespace", "shard_id").sortWithinPartitions("namespace", "shard_id", "gid").write.mode("append").option("compression", "zstd")
+    """Append records to a table of Parquet files by namespace and shard, sorted by gid, so that gid ranges skip files and row groups.
+
+    A shard is written by as many tasks as its size asks for, each with a range of its gids.
+    """
+    place = ["namespace", "shard_id", "gid"]
+    # A name that is neither null nor a constant: for either Spark would sort by partition columns once more, without the gid.
+    rows = rows.withColumn("namespace", F.coalesce(F.when(F.col("gid").isNotNull(), F.col("namespace")), F.lit("")))
+    out = rows.repartitionByRange(*place).sortWithinPartitions(*place).write.mode("append").option("compression", "zstd")
     if rows_per_file:
         out = out.option("maxRecordsPerFile", rows_per_file)
     out.partitionBy("namespace", "shard_id").parquet(path)

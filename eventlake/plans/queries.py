@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import decrypt_with_ring, encode_gid, encrypt, gid_local, gid_shard, rejection
 from ..operators import catalog, consumers, integrity, live, retention, writer
-from ..operators.query import AbsentMatch, LogQuery, Result, build
-from ..schema import MARKER
-from ..sources import adapters, reads
+from ..operators.query import AbsentMatch, LogQuery, Result, build, metadata_value
+from ..schema import MARKER, PROMOTED
+from ..sources import adapters, reads, store
 from ..streaming import export, tail
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,12 +34,33 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Metadata keys of the events that are columns of the stored tables.
+KEYS = ["k", "user_id", "user_day"]
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _record_table(spark: SparkSession, sf_dir: str, kind: str, make: Callable[[DataFrame], DataFrame]) -> str:
+    """Where the record table of the events is that ``make`` defines: written by the first query of an application that needs it."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _STORED or not store.exists(spark, _STORED[key]):
+        events = _table(spark, sf_dir, "events")
+        at = store.new_path(spark, f"records-{kind}")
+        # A few files at least, so that a stream over the table has several batches.
+        writer.write(writer.promote(make(events), KEYS), at, rows_per_file=max(1, events.count() // 4))
+        _STORED[key] = at
+    return _STORED[key]
+
+
+def _open(spark: SparkSession, at: str) -> DataFrame:
+    return store.open_table(spark, at, KEYS)
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapters.events_log(_table(spark, sf_dir, "events"))
+    return _open(spark, _record_table(spark, sf_dir, "events", adapters.events_log))
 
 
 def _by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapters.events_by_user(_table(spark, sf_dir, "events"))
+    return _open(spark, _record_table(spark, sf_dir, "by_user", adapters.events_by_user))
 
 
 def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +81,7 @@ SHARDS = adapters.SHARDS
 
 
 def _shown(df: DataFrame) -> DataFrame:
-    return df.select("seq", "event_type", F.col("metadata")["k"].alias("k"), F.col("metadata")["user_day"].alias("user_day"), "timestamp_ns")
+    return df.select("seq", "event_type", metadata_value(df, "k").alias("k"), metadata_value(df, "user_day").alias("user_day"), "timestamp_ns")
 
 
 _SHOWN = "select seq, event_type, k, user_day, timestamp_ns from r "
@@ -99,7 +118,8 @@ def q_metadata_and(spark, sf_dir):
 
 
 def _some_keyless(records: DataFrame, key: str, every: int) -> DataFrame:
-    """Records of which every so many-th lacks the key."""
+    """Records of which every so many-th lacks the key; it is in the map alone."""
+    records = records.drop(PROMOTED + key)
     without = F.map_filter("metadata", lambda k, v: k != key)
     return records.withColumn("metadata", F.when((F.col("seq") - 1) % every == 0, without).otherwise(F.col("metadata")))
 
@@ -233,10 +253,13 @@ def q_orders_promoted_key(spark, sf_dir):
 _CUT = ", cut as (select user_id, max(seq) as cutoff from u where event_type = 'signup' and user_id % 3 = 0 group by user_id) "
 
 
-def _tombstoned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = _by_user(spark, sf_dir)
+def _marked(events: DataFrame) -> DataFrame:
     marks = (F.col("event_type") == "signup") & ((F.col("stream_id") - 1) % 3 == 0)
-    return records.withColumn("event_type", F.when(marks, MARKER).otherwise(F.col("event_type")))
+    return adapters.events_by_user(events).withColumn("event_type", F.when(marks, MARKER).otherwise(F.col("event_type")))
+
+
+def _tombstoned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _open(spark, _record_table(spark, sf_dir, "tombstoned", _marked))
 
 
 @query(U + _CUT + "select 'fixture' as namespace, 'user-' || user_id::varchar as stream, cutoff from cut")
@@ -334,7 +357,13 @@ def shard_distribution(spark, sf_dir):
     return _by_user(spark, sf_dir).groupBy("shard_id").agg(F.count(F.lit(1)).alias("n"), F.min("gid").alias("first_gid"), F.max("gid").alias("last_gid"))
 
 
-@query()
+#: CRC-32C of an ASCII text in SQL: the table of its 256 remainders, and a fold over the text's bytes.
+_CRC_TABLE = """with crc as (select list(list_reduce(list_prepend(i, range(8)), lambda c, x: case when c & 1 = 1 then xor(c >> 1, 2197175160) else c >> 1 end) order by i) as t
+ from (select unnest(range(256)) as i)) """
+_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({0}, ''), lambda c: ascii(c)::bigint)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+@query(_CRC_TABLE + f"select stream, ({_CRC.format('stream')} % 4)::integer as shard_id, n from (select 'user-' || user_id::varchar as stream, count(*) as n from events group by 1), crc")
 def route_by_crc32c(spark, sf_dir):
     return writer.route(_by_user(spark, sf_dir), SHARDS, "stream").groupBy("stream").agg(F.min("shard_id").alias("shard_id"), F.count(F.lit(1)).alias("n"))
 
@@ -350,16 +379,31 @@ def append_assign_seq(spark, sf_dir):
     return writer.assign_seq(new, there, "event_id").select("stream", "event_id", "seq")
 
 
-@query(R + "select event_type, seq from r where seq % 10 = 0")
+@query(R + "select event_type, seq from r")
 def append_single_stream(spark, sf_dir):
-    events = _table(spark, sf_dir, "events")
-    return writer.assign_seq_single(events, 0, "event_id").where("seq % 10 = 0").select("event_type", "seq")
+    return writer.assign_seq_single(_table(spark, sf_dir, "events"), 0, "event_id").select("event_type", "seq")
 
 
-@query(R + "select event_type, seq from r")
-def append_single_stream_all(spark, sf_dir):
-    """Every appended row; append_single_stream and its SQL have each tenth."""
-    return writer.assign_seq_single(_table(spark, sf_dir, "events"), 0, "event_id").select("event_type", "seq")
+def _arriving(events: DataFrame) -> DataFrame:
+    """Events as they come to be appended: a stream for each user, event_id as the arrival, without a timestamp."""
+    return events.select(
+        F.lit("fixture").alias("namespace"), F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("stream"), "event_type",
+        F.lit(None).cast("string").alias("content_type"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), F.col("props").cast("binary").alias("content"),
+        F.create_map(F.lit("user_id"), F.col("user_id").cast("string")).alias("metadata"), F.col("event_id").alias("arrival"),
+    ).withColumn("timestamp_ns", F.col("micros") * 1000).drop("micros")
+
+
+@query(_CRC_TABLE + f""", s as (select *, ({_CRC.format('stream')} % 4)::integer as shard_id from (select distinct 'user-' || user_id::varchar as stream, user_id from events), crc),
+e as (select stream, event_id, event_type, props, shard_id, event_id >= (select count(*) // 2 from events) as late from events join s using (user_id)),
+n as (select *, row_number() over (partition by stream order by event_id) as seq, row_number() over (partition by shard_id order by event_id) - 1 as local from e)
+select stream, seq, local * 4 + shard_id as gid, shard_id, event_type, 'application/json' as content_type, props as content from n""")
+def append_end_to_end(spark, sf_dir):
+    """Half of the events is appended and written, then the other half to what the table has; the table is read back."""
+    events = _table(spark, sf_dir, "events")
+    half, at = events.count() // 2, store.new_path(spark, "appended")
+    writer.write(writer.append(_arriving(events.where(F.col("event_id") < half)), store.open_table(spark, at), SHARDS, "stream"), at)
+    writer.write(writer.append(_arriving(events.where(F.col("event_id") >= half)), store.open_table(spark, at), SHARDS, "stream"), at)
+    return store.open_table(spark, at).select("stream", "seq", "gid", "shard_id", "event_type", "content_type", F.col("content").cast("string").alias("content"))
 
 
 _BAD = "case when event_id % 11 = 0 then 'namespace' when event_id % 13 = 0 then 'stream' when event_id % 17 = 0 then 'metadata' when event_id % 19 = 0 then 'content' when event_id % 23 = 0 then 'event_type' when event_id % 29 = 0 then 'metadata_key' else 'none' end"
@@ -560,27 +604,17 @@ def leader_pick(spark, sf_dir):
     return consumers.pick_leaders(_claims(spark, sf_dir), now_ms=1490, lease_ms=50)
 
 
-@query("""with m as (select o_custkey % 20 as "group", o_custkey as member, min(o_orderkey) as joined from orders where o_custkey < 90 group by all),
+@query("""with m as (select o_custkey % 20 as "group", o_custkey as member, min(o_orderkey) as joined from orders group by all),
 r as (select *, row_number() over (partition by "group" order by joined, member) - 1 as rank, count(*) over (partition by "group") as n from m)
 select r."group", shard, member from r, (select unnest(range(16)) as shard) where rank = shard % n""")
 def assign_round_robin(spark, sf_dir):
-    return _assigned(_table(spark, sf_dir, "orders").where("o_custkey < 90"))
-
-
-def _assigned(orders: DataFrame) -> DataFrame:
+    """All customers as members: groups of more members than shards, too."""
+    orders = _table(spark, sf_dir, "orders")
     members = orders.groupBy((F.col("o_custkey") % 20).alias("group"), F.col("o_custkey").alias("member")).agg(F.min("o_orderkey").alias("joined"))
     shards = members.select("group").distinct().select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("shard"))
     return consumers.assign_round_robin(shards, members)
 
 
-@query("""with m as (select o_custkey % 20 as "group", o_custkey as member, min(o_orderkey) as joined from orders group by all),
-r as (select *, row_number() over (partition by "group" order by joined, member) - 1 as rank, count(*) over (partition by "group") as n from m)
-select r."group", shard, member from r, (select unnest(range(16)) as shard) where rank = shard % n""")
-def assign_round_robin_all(spark, sf_dir):
-    """All customers as members: groups of more members than shards, too, which assign_round_robin and its SQL don't have."""
-    return _assigned(_table(spark, sf_dir, "orders"))
-
-
 def _assignment(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("g", s, f"m{s % 2}") for s in (0, 1, 3)], "group string, shard long, member string")
 
@@ -649,25 +683,20 @@ def aes_keyring_roundtrip(spark, sf_dir):
     return _events(spark, sf_dir).select("seq", decrypt_with_ring(sealed, keys[:2]).cast("string").alias("content"))
 
 
-def _folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share: the checkpoint folder's, a temporary one where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="eventlake-")
-
-
-def _streamed(spark: SparkSession, records: DataFrame, select: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What a stream over a table of ``records``, read in several batches, delivers."""
-    at = _folder(spark)
-    records.repartition(4).write.parquet(f"{at}/table")
-    tail.drain(select(tail.open_stream(spark, f"{at}/table", 1)), f"{at}/out", f"{at}/checkpoint")
+def _streamed(spark: SparkSession, table: str, select: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream over the record table, read in several batches, delivers."""
+    at = store.new_path(spark, "stream")
+    tail.drain(select(tail.open_stream(spark, table, 1)), f"{at}/out", f"{at}/checkpoint")
     return spark.read.parquet(f"{at}/out")
 
 
 @query(R + _SHOWN + "where seq >= 301")
 def tail_available_now(spark, sf_dir):
-    return _streamed(spark, _events(spark, sf_dir), lambda s: _shown(tail.tail(s, "fixture", "events", committed=300)))
+    table = _record_table(spark, sf_dir, "events", adapters.events_log)
+    return _streamed(spark, table, lambda s: _shown(tail.tail(s, "fixture", "events", committed=300)))
 
 
 @query(R + _SHOWN + "where event_type in ('purchase', 'signup') and seq > 500")
 def subscribe_resume(spark, sf_dir):
-    return _streamed(spark, _events(spark, sf_dir), lambda s: _shown(tail.subscribe(s, ["purchase", "signup"], 500)))
+    table = _record_table(spark, sf_dir, "events", adapters.events_log)
+    return _streamed(spark, table, lambda s: _shown(tail.subscribe(s, ["purchase", "signup"], 500)))

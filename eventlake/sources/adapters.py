@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import encode_gid
+from ..operators.ranges import number_rows
 from ..schema import DEFAULT_CONTENT_TYPE
 
 #: Shards that fixture logs are dealt to.
@@ -62,13 +63,8 @@ def events_log(events: DataFrame) -> DataFrame:
 def events_by_user(events: DataFrame, shards: int = SHARDS) -> DataFrame:
     """A stream for each user, dealt to shards by user; records also have local_seq."""
     shard = F.pmod(F.col("user_id"), F.lit(shards)).cast("int")
-    numbered = events.withColumn("shard", shard)
-    numbered = numbered.withColumns(
-        {
-            "local": F.row_number().over(Window.partitionBy("shard").orderBy("event_id")).cast("long") - 1,
-            "n": F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long"),
-        }
-    )
+    numbered = number_rows(events.withColumn("shard", shard), "event_id", ["shard"], column="local")
+    numbered = number_rows(numbered, "event_id", ["user_id"], column="n").withColumn("local", F.col("local") - 1)
     return _record(
         numbered,
         stream=F.concat(F.lit("user-"), F.col("user_id").cast("string")),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import gid_local
-from ..operators.query import number_rows
+from ..operators.ranges import number_rows
 from ..schema import PAGE_ROWS, STREAM
 
 
@@ -65,7 +65,7 @@ def scan_pages(live: DataFrame, from_seq: int = 0, page_rows: int = 0) -> DataFr
     ``page_rows`` is the size of a page and no cap; 0 is the default size.
     """
     size = page_rows if page_rows > 0 else PAGE_ROWS
-    rows = number_rows(live.where(F.col("seq") >= from_seq), F.col("seq").asc())
+    rows = number_rows(live.where(F.col("seq") >= from_seq), "seq")
     paged = rows.withColumn("page", F.floor((F.col("pos") - 1) / size).cast("long")).drop("pos")
     ends = paged.groupBy("page").agg((F.max("seq") + 1).alias("next_seq"))
     last = ends.agg(F.max("page").alias("last")).withColumn("k", F.lit(1))

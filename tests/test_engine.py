@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from eventlake import functions as fn
 from eventlake.functions.crypto import encrypt
 from eventlake.functions.hashes import blake3_of
-from eventlake.operators import catalog, consumers, integrity, live, retention, writer
-from eventlake.operators.query import number_rows
+from eventlake.operators import catalog, consumers, integrity, live, ranges, retention, writer
+from eventlake.operators.query import LogQuery, Result, build
+from eventlake.operators.ranges import number_rows, with_previous
 from eventlake.plans.queries import QUERIES
 from eventlake.schema import MARKER
-from eventlake.sources import adapters, envelope, reads, segments
+from eventlake.sources import adapters, envelope, reads, segments, store
 
 from .test_query import log
 
@@ -78,9 +79,11 @@ def test_tombstones(spark):
 
 
 def test_boundary(spark):
-    df = log(spark, [(i, "t", {}) for i in range(1, 6)]).withColumn("local_seq", F.col("gid"))
+    df = log(spark, [(i, "t", {}) for i in range(1, 6)])
     bounds = spark.createDataFrame([(0, 3)], "shard_id int, bound long")
-    assert sorted(r.seq for r in live.within_boundary(df, bounds).collect()) == [1, 2, 3]
+    assert sorted(r.seq for r in live.within_boundary(df, bounds, 1).collect()) == [1, 2, 3]
+    two = df.withColumns({"shard_id": (F.col("gid") % 2).cast("int")})
+    assert sorted(r.gid for r in live.within_boundary(two, bounds, 2).collect()) == [0, 2, 4]
 
 
 def test_reads(spark):
@@ -101,9 +104,65 @@ def test_reads(spark):
     assert reads.latest_by_stream(df).first().seq == 25
 
 
-def test_number_rows(spark):
-    rows = number_rows(spark.range(1000, numPartitions=7).select((F.col("id") * 37 % 1009).alias("x")), F.col("x").asc()).collect()
-    assert [r.x for r in sorted(rows, key=lambda r: r.pos)] == sorted(r.x for r in rows) and {r.pos for r in rows} == set(range(1, 1001))
+@pytest.fixture
+def partitions(spark):
+    """Sets the number of shuffle partitions for one test."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    yield lambda n: spark.conf.set("spark.sql.shuffle.partitions", n)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def _wide(spark, n):
+    return spark.range(n, numPartitions=13).select((F.col("id") * 7919 % n).alias("x"), F.repeat(F.md5(F.col("id").cast("string")), 6).alias("w"))
+
+
+@pytest.mark.parametrize("n,parts,descending", [(1_000_000, 8, False), (1_000_000, 200, True), (3_000_000, 64, False)])
+def test_number_rows_is_exact_and_without_gaps(spark, partitions, n, parts, descending):
+    partitions(parts)
+    want = F.lit(n) - F.col("x") if descending else F.col("x") + 1
+    numbered = number_rows(_wide(spark, n), "x", descending=descending, range_rows=n // 40)
+    got = numbered.agg(F.count("w").alias("n"), F.count(F.when(F.col("pos") != want, 1)).alias("wrong")).first()
+    assert tuple(got) == (n, 0)
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 0
+
+
+def test_number_rows_in_groups(spark, partitions):
+    """A hot group, small ones, one without a name; keys that repeat and null keys: numbers are 1 to the group's size, by key."""
+    partitions(16)
+    rows = spark.range(60_000, numPartitions=5).select(
+        F.when(F.col("id") % 11 == 0, F.lit(None)).when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") * 37 % 60_013).alias("x"),
+        F.when(F.col("id") % 10 < 6, "hot").when(F.col("id") % 10 < 9, F.lit(None)).otherwise(F.concat(F.lit("s"), (F.col("id") % 70).cast("string"))).alias("g"),
+        F.col("id").alias("told"),
+    )
+    numbered = number_rows(rows, "x", ["g"], range_rows=1000, ties=["told"])
+    got = {}
+    for r in numbered.collect():
+        got.setdefault(r.g, []).append((r.pos, -1 if r.x is None else r.x))
+    assert sum(map(len, got.values())) == 60_000
+    for found in got.values():
+        found.sort()
+        assert [p for p, _ in found] == list(range(1, len(found) + 1)) and [x for _, x in found] == sorted(x for _, x in found)
+    again = numbered.join(number_rows(rows.repartition(9), "x", ["g"], range_rows=1000, ties=["told"]).select("told", F.col("pos").alias("p")), "told")
+    assert again.where("pos <> p").count() == 0
+
+
+def test_with_previous_in_groups(spark):
+    rows = spark.range(20_000, numPartitions=5).select((F.col("id") * 37 % 20_011).alias("x"), F.when(F.col("id") % 4 > 0, "hot").otherwise("other").alias("g")).withColumn("v", F.when(F.col("x") % 5 > 0, F.col("x") * 2))
+    before, last = {}, {}
+    for r in sorted(rows.collect(), key=lambda r: r.x):
+        before[r.x], last[r.g] = last.get(r.g), r.v
+    assert {r.x: r.p for r in with_previous(rows, "v", "x", ["g"], "p", range_rows=700).collect()} == before
+
+
+def test_pages_of_a_long_stream(spark, partitions):
+    partitions(32)
+    n = 1_100_000
+    rows = spark.range(n, numPartitions=7).select((n - F.col("id")).alias("seq"), F.repeat(F.md5(F.col("id").cast("string")), 4).alias("content"))
+    pages = reads.scan_pages(rows, 101, 1000).groupBy("page").agg(F.count("content").alias("n"), F.min("seq").alias("low"), F.max("next_seq").alias("next"), F.max("has_more").alias("more")).collect()
+    assert sorted((r.page, r.n, r.low, r.next, r.more) for r in pages) == [(k, min(1000, n - 100 - 1000 * k), 101 + 1000 * k, min(n, 1100 + 1000 * k) + 1, k < 1099) for k in range(1100)]
+    numbered = writer.assign_seq_single(rows.withColumnRenamed("seq", "arrival"), 10)
+    assert tuple(numbered.agg(F.count("*"), F.count(F.when(F.col("seq") != F.col("arrival") + 10, 1))).first()) == (n, 0)
 
 
 def incoming(spark, rows):
@@ -322,7 +381,7 @@ def test_adapters_have_the_record_columns(spark):
 
 
 def test_single_stream_query_returns_every_row(spark):
-    rows = QUERIES["append_single_stream_all"](spark, DIR).collect()
+    rows = QUERIES["append_single_stream"](spark, DIR).collect()
     assert sorted(r.seq for r in rows) == list(range(1, spark.read.parquet(f"{DIR}/events.parquet").count() + 1))
 
 
@@ -334,5 +393,66 @@ def test_round_robin_query_has_groups_of_more_members_than_shards(spark):
         group[r.o_custkey] = min(r.o_orderkey, group.get(r.o_custkey, r.o_orderkey))
     assert min(map(len, joined.values())) > 16
     want = {(g, i, c) for g, m in joined.items() for i, c in enumerate(sorted(m, key=lambda c: (m[c], c))[:16])}
-    rows = QUERIES["assign_round_robin_all"](spark, at).collect()
+    rows = QUERIES["assign_round_robin"](spark, at).collect()
     assert len(rows) == len(want) and {(r.group, r.shard, r.member) for r in rows} == want
+
+
+@pytest.fixture(scope="module")
+def stored_log(spark, tmp_path_factory):
+    """A record table of 20,000 events in four shards, as a query would find it."""
+    at = str(tmp_path_factory.mktemp("table") / "records")
+    events = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    writer.write(writer.promote(adapters.events_by_user(events), ["k"]), at, rows_per_file=500)
+    return store.open_table(spark, at, ["k"])
+
+
+def _plan(df):
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(
+    "read,pushed",
+    [
+        (lambda t: reads.scan(t, 100, 200), ["GreaterThanOrEqual(gid,100)", "LessThan(gid,200)"]),
+        (lambda t: reads.read_gid(t, 42), ["EqualTo(gid,42)"]),
+        (lambda t: reads.multi_get(t, [5, 9]), ["GreaterThanOrEqual(gid,5)", "LessThanOrEqual(gid,9)"]),
+        (lambda t: reads.scan_shard(t, 2, 100), ["GreaterThanOrEqual(gid,100)"]),
+        (lambda t: reads.scan_stream(t, "fixture", "user-7", 5), ["EqualTo(stream,user-7)", "GreaterThanOrEqual(seq,5)"]),
+        (lambda t: build(t, LogQuery(("click",), from_seq=3, to_seq=9)), ["EqualTo(event_type,click)", "GreaterThanOrEqual(seq,3)", "LessThanOrEqual(seq,9)"]),
+        (lambda t: build(t, LogQuery(metadata={"k": "4"}, result=Result.COUNT)), ["EqualTo(md_k,4)"]),
+    ],
+)
+def test_filters_reach_the_stored_table(stored_log, read, pushed):
+    plan = _plan(read(stored_log))
+    assert "Window" not in plan
+    scan = plan[plan.index("PushedFilters") :].split("ReadSchema")[0]
+    assert all(p in scan for p in pushed), scan
+
+
+def test_stored_table_prunes(spark, stored_log):
+    assert "(shard_id" in _plan(reads.scan_shard(stored_log, 2)).split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert "content" not in _plan(build(stored_log, LogQuery(("click",), result=Result.COUNT))).split("ReadSchema")[1]
+    # Gids rise through a shard's files, which don't overlap.
+    files = stored_log.groupBy("shard_id", F.input_file_name().alias("f")).agg(F.min("gid").alias("a"), F.max("gid").alias("b")).orderBy("shard_id", "a").collect()
+    assert len(files) > 8 and all(x.shard_id != y.shard_id or x.b < y.a for x, y in zip(files, files[1:]))
+    assert stored_log.count() == spark.read.parquet("/root/testdata/sf0.01/events.parquet").count()
+
+
+def test_live_count_of_a_deletion(spark):
+    rows = log(spark, [(1, "t", {}), (2, MARKER, {}), (3, "t", {}), (4, "t", {})])
+    assert writer.live_count(rows, "n", "s").first().n == 2 and writer.live_count(rows, "n", "none").first().n == 0
+
+
+def test_hot_chains_are_checked_in_ranges(spark, monkeypatch):
+    """A stream and a shard far larger than a range: gaps, repeats and broken links are found where they are."""
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 50)
+    monkeypatch.setattr(ranges.with_previous, "__defaults__", (50,))
+    seqs = [*range(1, 700), *range(701, 1200), 1199, *range(1200, 2000)]
+    assert tuple(integrity.verify_chain(log(spark, [(q, "t", {}) for q in seqs])).select("ok", "error_at_seq", "verified_to", "n_records").first()) == (False, 700, 1999, len(seqs))
+    assert integrity.verify_chain(log(spark, [(q, "t", {}) for q in range(5, 2000)])).first().ok
+    built = integrity.build_hashes(log(spark, [(i, "t", {}) for i in range(1, 1001)]))
+    assert integrity.broken_links(built).first().ok
+    changed = built.withColumn("content", F.when(F.col("gid").isin(500, 900), F.lit(b"X")).otherwise(F.col("content")))
+    assert tuple(integrity.broken_links(changed).select("ok", "first_broken").first()) == (False, 500)
+    assert integrity.verify_hashes(changed).where("NOT linked").count() == 2
