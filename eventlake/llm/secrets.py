@@ -13,6 +13,7 @@ import math
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,53 +53,56 @@ def entropy(s: str) -> float:
     return -sum(k / n * math.log2(k / n) for k in (s.count(c) for c in set(s)))
 
 
-def _near(parts: list[tuple[int, int]], others: list[tuple[int, int]], scope: int) -> set[tuple[int, int]]:
-    """The parts that have one of ``others`` within ``scope``; both sorted.  An interval join by binary search."""
-    if not others:
-        return set()
-    starts = [a for a, _ in others]
-    reach, top = [], -1
-    for _, b in others:  # the furthest end among those that start so far or before
-        top = max(top, b)
-        reach.append(top)
-    out = set()
-    for a, b in parts:
-        k = bisect_right(starts, b + scope)
-        if k and reach[k - 1] >= a - scope:
-            i = bisect_left(reach, a - scope)
-            while i < k:
-                if others[i] != (a, b) and others[i][1] >= a - scope:
-                    out.add((a, b))
-                    break
-                i += 1
-    return out
+def _outside(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans that overlap none of ``taken``."""
+    taken = sorted(taken)
+    starts = [a for a, _ in taken]
+    reach = list(accumulate((b for _, b in taken), max))
+    return [(a, b) for a, b in spans if not (k := bisect_left(starts, b)) or reach[k - 1] <= a]
 
 
-def linked_spans(text: str, base: list[tuple[int, int, int]], scope: int = SCOPE) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of weak candidates that a complementary part confirms."""
-    ids = [m.span() for m in _WEAK_ID.finditer(text)]
+def _near(parts: list[tuple[int, int]], others: list[tuple[int, int]], scope: int) -> list[tuple[int, int]]:
+    """The parts that lie beside one of ``others``, without overlap, at most ``scope`` away.  An interval join by binary search."""
+    starts, stops = sorted(a for a, _ in others), sorted(b for _, b in others)
+
+    def joined(a: int, b: int) -> bool:
+        before, after = bisect_right(stops, a), bisect_left(starts, b)
+        return (before > 0 and stops[before - 1] >= a - scope) or (after < len(starts) and starts[after] <= b + scope)
+
+    return [(a, b) for a, b in parts if joined(a, b)]
+
+
+def candidates(text: str, base: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]], list[tuple[int, int]]]:
+    """(identifiers, secrets, endpoints), the weak ones, none of which overlaps another.
+
+    Endpoints claim their text first, then identifiers, then secrets; a secret
+    overlaps no base span either.
+    """
     ends = [m.span() for m in _WEAK_ENDPOINT.finditer(text)] if "://" in text or "." in text else []
-    strong_ids = [(a, b) for a, k, b in base if k == 1]
-    strong = [(a, b) for a, k, b in base if k != 1]
-    if not (ids or ends or strong_ids):
-        return []
-    covered = sorted((a, b) for a, _, b in base)
-    weak = []
-    for m in _WEAK_SECRET.finditer(text):
-        a, b = m.span()
-        i = bisect_right(covered, (b, -1))
-        if any(x < b and y > a for x, y in covered[max(0, i - 3) : i]):
-            continue
-        s = m.group()
-        if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)) or entropy(s) < MIN_ENTROPY:
-            continue
-        weak.append((a, b))
-    secrets = sorted(strong + weak)
-    every_id = sorted(ids + strong_ids)
-    out = [(a, 4, b) for a, b in _near(weak, sorted(every_id + ends), scope)]
-    out += [(a, 3, b) for a, b in _near(sorted(ids), secrets, scope)]
-    out += [(a, 5, b) for a, b in _near(sorted(ends), secrets, scope)]
-    return sorted(out)
+    ids = _outside([m.span() for m in _WEAK_ID.finditer(text)], ends)
+    if not (ids or ends or any(k == 1 for _, k, _ in base)):
+        return ids, [], ends
+    runs = _outside([m.span() for m in _WEAK_SECRET.finditer(text)], [*ends, *ids, *((a, b) for a, _, b in base)])
+    return ids, [(a, b) for a, b in runs if _secret_like(text[a:b])], ends
+
+
+def _secret_like(s: str) -> bool:
+    return any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and entropy(s) >= MIN_ENTROPY
+
+
+def linked_spans(text: str, base: list[tuple[int, int, int]], scope: int = SCOPE) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of weak candidates that a complementary part confirms.
+
+    A secret is confirmed by an identifier or an endpoint, either of these by a
+    secret; base spans take part as what they are (an access key is an
+    identifier, the others are secrets).  Parts are disjoint: nothing confirms
+    itself, or what it lies in.
+    """
+    ids, weak, ends = candidates(text, base)
+    every_id = ids + [(a, b) for a, k, b in base if k == 1]
+    secrets = weak + [(a, b) for a, k, b in base if k != 1]
+    found = [(3, ids, secrets), (4, weak, every_id + ends), (5, ends, secrets)]
+    return sorted((a, kind, b) for kind, parts, others in found if parts and others for a, b in _near(parts, others, scope))
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("linked", pa.bool_())])
