@@ -16,12 +16,12 @@ sooner than a frequent one that goes on anyhow.  An n-gram that training lacks
 has exactly P(w | h') times the failure weight m / (c(h) + m), and all
 probabilities of a state sum to one.
 
-The model grows with the corpus, so no machine holds it.  Documents are dealt
-into blocks; a block asks for the counts of the n-grams in its own text, packed
-by shard of the n-gram space, those shards only that it has n-grams of; a shard adds up what all blocks counted and
-answers each block.  A frequent n-gram is asked for once by a block, so no key
-is hot.  What comes back is the part of the automaton that the block's texts
-can reach.
+The model grows with the corpus, so no machine holds it.  Documents are packed
+into blocks as they lie; a block asks for the counts of the n-grams in its own
+text, packed by shard of the n-gram space, those shards only that it has
+n-grams of; a shard adds up what all blocks counted and answers each block.  A
+frequent n-gram is asked for once by a block, so no key is hot.  What comes back
+is the part of the automaton that the block's texts can reach.
 """
 
 from __future__ import annotations
@@ -31,20 +31,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import FOLD, id_remainder
 
 #: Words of an n-gram, and A and B of the prior's weight.
-ORDER, PRIOR = 2, (5.0, 0.85)
+ORDER, PRIOR = 3, (5.0, 0.85)
 #: Remainder of crc32(doc_id) mod 5 of the rows that are held out.
 FOLDS, HELD_OUT = 5, 1
 #: Text of a block, and n-grams of a shard: both bound a task's memory.
-BLOCK_BYTES, SHARD_GRAMS = 16 << 20, 4_000_000
+BLOCK_BYTES, SHARD_GRAMS = 24 << 20, 4_000_000
 #: The end of a text, and its beginning, as keys no word's hash is taken for.
 END, BEGIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
+#: Bits of a word's key and of a longer n-gram's: six fewer save a byte of each that moves.
+WORD_BITS, GRAM_BITS = 64, 58
+#: Tokens of a lane: the traversal walks all lanes of a block abreast, and longer texts are several.
+LANE = 1024
 
 
 def token_keys(text: str | None) -> np.ndarray:
@@ -65,16 +71,20 @@ def _mixed(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x * np.uint64(0x94D049BB133111EB)
 
 
-def gram_keys(tokens: np.ndarray, order: int) -> list[np.ndarray]:
-    """For each order the key of the n-gram that ends at each token; texts are preceded by begin marks."""
+def gram_keys(tokens: np.ndarray, at: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each order the key of the n-gram that ends at each token; ``at``: places of the tokens in their texts, which begin marks precede."""
+    before = [tokens]
+    for j in range(1, order):
+        shifted = np.full(len(tokens), BEGIN, np.uint64)
+        shifted[j:] = tokens[:-j]
+        shifted[at < j] = BEGIN
+        before.append(shifted)
     keys = [tokens]
-    padded = np.concatenate([np.full(order - 1, BEGIN, np.uint64), tokens])
-    n = len(tokens)
     for k in range(2, order + 1):
-        key = padded[order - k : order - k + n]
-        for j in range(1, k):
-            key = _mixed(key, padded[order - k + j : order - k + j + n])
-        keys.append(key ^ np.uint64(k))
+        key = before[k - 1]
+        for j in range(k - 2, -1, -1):
+            key = _mixed(key, before[j])
+        keys.append(key >> np.uint64(64 - GRAM_BITS))
     return keys
 
 
@@ -104,70 +114,195 @@ def _unpacked_keys(blob: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([np.frombuffer(blob[1:9], np.uint64), steps.view(np.uint64).reshape(-1)]), dtype=np.uint64)
 
 
-def _shard_bounds(keys: np.ndarray, shards: int) -> np.ndarray:
+def _bits(k: int) -> int:
+    return WORD_BITS if k == 1 else GRAM_BITS
+
+
+def _shard_bounds(keys: np.ndarray, shards: int, bits: int) -> np.ndarray:
     """Where each shard's sorted keys begin and end: shards are ranges of the key space."""
-    edges = [(k << 64) // shards for k in range(1, shards)]
+    edges = [(k << bits) // shards for k in range(1, shards)]
     return np.concatenate(([0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]))
 
 
-def _begin_contexts(order: int) -> list[np.ndarray]:
-    """Keys of the contexts of 2, 3, ... begin marks; one begin mark is BEGIN itself."""
-    return [gram_keys(np.full(k, BEGIN, np.uint64), k)[k - 1][-1:] for k in range(2, order)]
+def _begin_keys(order: int) -> list[np.ndarray]:
+    """Keys of the contexts of 1, 2, ... begin marks."""
+    marks = np.full(order, BEGIN, np.uint64)
+    return [k[-1:] for k in gram_keys(marks, np.arange(order), order)]
 
 
 class BlockGrams:
-    """A block's sorted distinct n-grams, and each token's places in them, one for each order."""
+    """A block's sorted distinct n-grams of each order, and each token's place in them.
+
+    The keys of order k also have the context of k begin marks, at ``marks[k - 1]``.
+    """
 
     def __init__(self, texts: list[str | None], order: int):
         self.order = order
         tokens = [token_keys(t) for t in texts]
         self.sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        n = int(self.sizes.sum())
-        self.marks = [np.array([BEGIN], np.uint64), *_begin_contexts(order)]
-        # All orders' n-grams side by side, then the begin marks: one sort gives the keys and everyone's place.
-        flat = np.empty(order * n + len(self.marks), np.uint64)
-        at = 0
-        for t in tokens:
-            for k, g in enumerate(gram_keys(t, order)):
-                flat[k * n + at : k * n + at + len(g)] = g
-            at += len(t)
-        flat[order * n :] = np.concatenate(self.marks)
-        by = np.argsort(flat)
-        flat = flat[by]
-        new = np.ones(len(flat), bool)
-        new[1:] = flat[1:] != flat[:-1]
-        self.keys = flat[new]
-        place = np.empty(len(flat), np.int64)
-        place[by] = np.cumsum(new) - 1
-        self.grams = [place[k * n : (k + 1) * n] for k in range(order)]
-        self.mark_places = place[order * n :]
-
-    def counted(self, trained: np.ndarray) -> np.ndarray:
-        """Counts of the keys in the documents of ``trained``; a begin mark counts once for each document as a context."""
-        out = np.zeros(len(self.keys), np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
+        self.at = np.arange(len(flat)) - np.repeat(self.starts, self.sizes)
+        self.keys, self.places, self.marks = [], [], []
+        for key, mark in zip(gram_keys(flat, self.at, order), _begin_keys(order)):
+            key = np.append(key, mark)
+            by = np.argsort(key)
+            key = key[by]
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            place = np.empty(len(key), np.int32)
+            place[by] = np.cumsum(new, dtype=np.int32) - 1
+            self.keys.append(key[new])
+            self.places.append(place[:-1])
+            self.marks.append(int(place[-1]))
+
+    def counted(self, trained: np.ndarray) -> list[np.ndarray]:
+        """For each order the counts of the keys in the documents of ``trained``; begin marks count once for each document, as contexts."""
         use = np.repeat(trained, self.sizes)
-        for g in self.grams:
-            out += np.bincount(g[use], minlength=len(self.keys))
-        out[self.mark_places] += int(trained.sum())
+        counts = []
+        for keys, places, mark in zip(self.keys, self.places, self.marks):
+            c = np.bincount(places[use], minlength=len(keys))
+            c[mark] += int(trained.sum())
+            counts.append(c)
+        return counts
+
+
+class Automaton:
+    """The weighted automaton that a block's texts can reach.
+
+    State 0 is the empty context, the others are the contexts that training
+    has, up to ``order - 1`` words.  ``fail`` leads to the state of the context
+    without its first word, for the weight ``fail_weight`` (log10).  Arcs are
+    sorted by state and word, with their log10 probability and the state they
+    lead to; state 0 has one for every word.
+    """
+
+    def __init__(self, block: BlockGrams, totals: list[np.ndarray], train_tokens: int, train_types: int, prior: tuple[float, float]):
+        order, words = block.order, block.places[0]
+        n = len(words)
+        self.words, self.n_words = words, len(block.keys[0])
+        # The states: of each order but the last the keys that training has, and the begin marks.
+        state_of, contexts, self.n_states = [], [], 1
+        for k in range(1, order):
+            known = totals[k - 1] > 0
+            known[block.marks[k - 1]] = True
+            ids = np.where(known, np.cumsum(known) - 1 + self.n_states, 0).astype(np.int32)
+            state_of.append(ids)
+            self.n_states += int(known.sum())
+            contexts.append(totals[k - 1][known])
+        c = np.concatenate([[0], *contexts]).astype(float)
+        m = prior[0] * np.maximum(c, 1.0) ** prior[1]
+        weight = m / (c + m)
+        self.fail_weight = np.log10(weight)
+        self.fail = np.zeros(self.n_states, np.int32)
+        for k in range(2, order):
+            # A context occurs wherever a longer one that ends with it does, so it is a state too.
+            self.fail[state_of[k - 1][block.places[k - 1]]] = state_of[k - 2][block.places[k - 2]]
+            self.fail[state_of[k - 1][block.marks[k - 1]]] = state_of[k - 2][block.marks[k - 2]]
+        self.fail[0] = 0
+        self.begin = int(state_of[-1][block.marks[order - 2]]) if order > 1 else 0
+        # Arcs of state 0, then those of each longer context; p: the probability of the n-gram that ends at each token.
+        mass = train_tokens + 0.5 * (train_types + 1)
+        self.base = np.log10((totals[0] + 0.5) / mass)
+        p = ((totals[0] + 0.5) / mass)[words]
+        self.root_next = state_of[0].copy() if order > 1 else np.zeros(self.n_words, np.int32)
+        if order > 1:
+            self.root_next[totals[0] == 0] = 0
+        arcs, weights, nexts = [], [], []
+        for k in range(2, order + 1):
+            before = np.empty(n, np.int32)  # the state of the context of k - 1 words before each token
+            before[1:] = state_of[k - 2][block.places[k - 2][:-1]]
+            before[block.starts] = state_of[k - 2][block.marks[k - 2]]
+            count = totals[k - 1][block.places[k - 1]]
+            p = weight[before] * p
+            seen = np.flatnonzero(count > 0)
+            p[seen] += count[seen] / (c[before[seen]] + m[before[seen]])
+            # One token for each distinct n-gram that training has.
+            of = np.full(len(block.keys[k - 1]), -1, np.int64)
+            of[block.places[k - 1][seen]] = seen
+            of = of[of >= 0]
+            last = min(k, order - 1)
+            arcs.append(before[of].astype(np.int64) * self.n_words + words[of])
+            weights.append(np.log10(p[of]))
+            nexts.append(state_of[last - 1][block.places[last - 1][of]])
+        arcs = np.concatenate([*arcs, np.zeros(0, np.int64)])
+        by = np.argsort(arcs)
+        self.arcs = arcs[by]
+        self.arc_weight = np.concatenate([*weights, np.zeros(0)])[by]
+        self.arc_next = np.concatenate([*nexts, np.zeros(0, np.int32)])[by]
+        self.block = block
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 probability of each word after its state, the next state): along failure arcs until there is an arc for the word."""
+        total, after, state = np.zeros(len(state)), np.empty(len(state), np.int32), state.copy()
+        open_ = np.arange(len(state))
+        while len(open_):
+            s, w = state[open_], word[open_]
+            root = s == 0
+            at = open_[root]
+            total[at] += self.base[w[root]]
+            after[at] = self.root_next[w[root]]
+            open_, s, w = open_[~root], s[~root], w[~root]
+            key = s.astype(np.int64) * self.n_words + w
+            arc = np.searchsorted(self.arcs, key)
+            found = arc < len(self.arcs)
+            found[found] = self.arcs[arc[found]] == key[found]
+            at = open_[found]
+            total[at] += self.arc_weight[arc[found]]
+            after[at] = self.arc_next[arc[found]]
+            open_, s = open_[~found], s[~found]
+            total[open_] += self.fail_weight[s]
+            state[open_] = self.fail[s]
+        return total, after
+
+    def traverse(self, lane: int = LANE) -> np.ndarray:
+        """log10 probability of every token: one walk from left to right that carries the state.
+
+        All texts take their steps abreast.  A text of more than ``lane`` tokens
+        is several lanes: a state is no more than the last ``order - 1`` words, so
+        a lane that begins that many words early, at the empty context, is in the
+        same state where its own words begin as one that came from the text's beginning.
+        """
+        block, warm = self.block, self.block.order - 1
+        lane = max(lane, warm + 1)
+        pieces = -(-block.sizes // lane)
+        text = np.repeat(np.arange(len(pieces)), pieces)
+        piece = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = block.starts[text] + piece * lane
+        stop = np.minimum(first + lane, block.starts[text] + block.sizes[text])
+        state = np.where(piece == 0, self.begin, 0).astype(np.int32)
+        for back in range(warm, 0, -1):
+            later = np.flatnonzero(piece > 0)
+            _, state[later] = self.step(state[later], self.words[first[later] - back])
+        out = np.empty(len(self.words))
+        by = np.argsort(first - stop, kind="stable")  # longest lanes first: those that still walk are a prefix
+        first, length, state = first[by], (stop - first)[by], state[by]
+        for t in range(int(length[0]) if len(length) else 0):
+            n = int(np.searchsorted(-length, -t, "left"))
+            out[first[:n] + t], state[:n] = self.step(state[:n], self.words[first[:n] + t])
         return out
 
 
-def _requests(pdf: pd.DataFrame, order: int, shards: int) -> pd.DataFrame:
-    """A block's requests: for each shard its sorted keys and what the block's training documents count for them."""
-    block = BlockGrams(list(pdf["text"]), order)
-    counts = block.counted(~pdf["held_out"].to_numpy(bool))
-    at = _shard_bounds(block.keys, shards)
-    # Shards that the block has nothing for are not asked: blocks times shards would grow with the square of the corpus.
-    asked = np.flatnonzero(np.diff(at))
-    parts = [slice(at[k], at[k + 1]) for k in asked]
-    return pd.DataFrame(
-        {
-            "block": np.full(len(asked), pdf["block"].iloc[0], np.int64),
-            "shard": asked,
-            "keys": [_packed_keys(block.keys[p]) for p in parts],
-            "counts": [_packed(counts[p]) for p in parts],
-        }
-    )
+def _texts(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(pa.py_buffer(data)).read_all()
+
+
+def _requests(block: int, data: bytes, order: int, shards: int) -> pd.DataFrame:
+    """A block's requests: for each shard its sorted keys and what the block's training documents count for them.
+
+    Shards of order k are numbered from (k - 1) * ``shards`` on.  Those that the
+    block has nothing for are not asked: blocks times shards would grow with the
+    square of the corpus.
+    """
+    docs = _texts(data)
+    grams = BlockGrams(docs["text"].to_pylist(), order)
+    rows = []
+    for k, counts in enumerate(grams.counted(~docs["held_out"].to_numpy()), 1):
+        at = _shard_bounds(grams.keys[k - 1], shards, _bits(k))
+        for shard in np.flatnonzero(np.diff(at)):
+            part = slice(at[shard], at[shard + 1])
+            rows.append((block, (k - 1) * shards + int(shard), _packed_keys(grams.keys[k - 1][part]), _packed(counts[part])))
+    return pd.DataFrame(rows, columns=["block", "shard", "keys", "counts"])
 
 
 def _answers(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -186,83 +321,80 @@ def _answers(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "totals": [_packed(back[a:b]) for a, b in zip(at, at[1:])]})
 
 
-class Automaton:
-    """The states and arcs that a block's texts can reach.
-
-    ``counts[k]`` and ``contexts[k]`` are, along the block's tokens, the counts
-    of the n-gram of k + 1 words that ends at the token, and of its context.
-    """
-
-    def __init__(self, block: BlockGrams, totals: np.ndarray, train_tokens: int, train_types: int, prior: tuple[float, float]):
-        self.prior, self.mass = prior, train_tokens + 0.5 * (train_types + 1)
-        self.counts = [totals[g] for g in block.grams]
-        marks = totals[block.mark_places]
-        starts = np.cumsum(block.sizes) - block.sizes
-        self.contexts = [None]
-        for k in range(1, block.order):
-            # The context of k words before a token is the n-gram of k words that ends at the token before it.
-            context = np.empty_like(self.counts[k - 1])
-            context[1:] = self.counts[k - 1][:-1]
-            context[starts] = marks[k - 1]
-            self.contexts.append(context)
-
-    def traverse(self) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 base probability, log10 model probability) of every token.
-
-        A token's arc leaves from the longest context; where the state has none
-        for the word, the failure weight is paid and the shorter context asked.
-        """
-        base = (self.counts[0] + 0.5) / self.mass
-        p = base
-        for k in range(1, len(self.counts)):
-            c = self.contexts[k]
-            m = self.prior[0] * np.maximum(c, 1.0) ** self.prior[1]
-            fail = m / (c + m)
-            arc = self.counts[k] / (c + m) + fail * p
-            p = np.where(self.counts[k] > 0, arc, fail * p)
-        return np.log10(base), np.log10(p)
-
-
-def _scores(docs: pd.DataFrame, answers: pd.DataFrame, order: int, prior: tuple[float, float], train_tokens: int, train_types: int) -> pd.DataFrame:
+def _scores(data: bytes, answers: pd.DataFrame, order: int, shards: int, prior: tuple[float, float], train_tokens: int, train_types: int) -> pd.DataFrame:
     """A block's texts through its part of the automaton."""
-    block = BlockGrams(list(docs["text"]), order)
-    totals = np.concatenate([_unpacked(t) for t in answers.sort_values("shard")["totals"]])
+    docs = _texts(data)
+    block = BlockGrams(docs["text"].to_pylist(), order)
+    answers = answers.sort_values("shard")
+    of = answers["shard"].to_numpy() // shards
+    totals = [np.concatenate([_unpacked(t) for t in answers["totals"][of == k]]) for k in range(order)]
+    if [len(t) for t in totals] != [len(k) for k in block.keys]:
+        raise RuntimeError("a block was packed anew from other rows: score a stored table")
     automaton = Automaton(block, totals, train_tokens, train_types, prior)
-    base, score = automaton.traverse()
-    starts = np.cumsum(block.sizes) - block.sizes
+    score = automaton.traverse()
+    words = block.places[0]
     return pd.DataFrame(
         {
-            "doc_id": docs["doc_id"],
-            "held_out": docs["held_out"],
+            "doc_id": docs["doc_id"].to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get),
+            "held_out": docs["held_out"].to_numpy(),
             "n_tokens": block.sizes,
-            "n_known": np.add.reduceat((automaton.counts[0] > 0).astype(np.int64), starts),
+            "n_known": np.add.reduceat((totals[0] > 0)[words].astype(np.int64), block.starts),
             "train_tokens": np.full(len(docs), train_tokens, np.int64),
-            "base_score": np.add.reduceat(base, starts),
-            "score": np.add.reduceat(score, starts),
+            "base_score": np.add.reduceat(automaton.base[words], block.starts),
+            "score": np.add.reduceat(score, block.starts),
         }
     )
 
 
-def _dealt(df: DataFrame, blocks: int) -> DataFrame:
-    """Documents with their block and fold; blocks go by the row's content, so that a hot id is dealt out as well."""
-    return df.select(
-        "doc_id",
+def _packed_blocks(df: DataFrame, block_bytes: int) -> DataFrame:
+    """(block, data): rows of df as they lie, so many that their texts reach ``block_bytes``, compressed.
+
+    Equal rows are spread as they are in df.  A block is named by its partition and number.
+    """
+    rows = df.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("text", F.lit("")).alias("text"),
         (id_remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"),
-    ).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-
-
-def _asked(dealt: DataFrame, order: int, shards: int) -> DataFrame:
-    def requests(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _requests(pdf, order, shards)
-
-    return dealt.groupBy("block").applyInPandas(requests, "block long, shard long, keys binary, counts binary")
+    )
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held, size, n = [], 0, 0
+        name = TaskContext.get().partitionId() << 32
+
+        def packed() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+                out.write_table(pa.Table.from_batches(held).combine_chunks())
+            return pa.RecordBatch.from_pydict({"block": pa.array([name | n], pa.int64()), "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+        for batch in batches:
+            length = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < len(batch):
+                done = int(length[at - 1]) if at else 0
+                upto = int(np.searchsorted(length, done + block_bytes - size)) + 1
+                part = batch.slice(at, min(upto, len(batch)) - at)
+                held.append(part)
+                size += int(length[at + len(part) - 1]) - done
+                at += len(part)
+                if size >= block_bytes:
+                    yield packed()
+                    held, size, n = [], 0, n + 1
+        if held:
+            yield packed()
+
+    return rows.mapInArrow(pack, "block long, data binary")
+
+
+def _asked(blocks: DataFrame, order: int, shards: int) -> DataFrame:
+    def requests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for block, data in zip(pdf["block"], pdf["data"]):
+                yield _requests(block, data, order, shards)
 
-def _answered(dealt: DataFrame, order: int, shards: int) -> DataFrame:
-    """(block, shard, totals): the corpus's counts for every block's n-grams up to ``order``."""
-    asked = _asked(dealt, order, shards)
-    return asked.groupBy("shard").applyInPandas(_answers, "block long, shard long, totals binary")
+    return blocks.mapInPandas(requests, "block long, shard long, keys binary, counts binary")
 
 
 def _shard_facts(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -279,29 +411,29 @@ def score_documents(df: DataFrame, order: int = ORDER, prior: tuple[float, float
     The model learns from all rows outside the held-out fold.  Null and empty
     texts are one end token.  Rows that repeat count and come back as often; a
     null id counts as the empty text in the fold's checksum.  Without training
-    rows every token has the mass of an unknown one.
+    rows every token has the mass of an unknown one.  df is read twice, and is
+    to give the same rows in the same partitions, as a stored table does; if a
+    lost block comes back with other rows, the job fails and scores nothing wrong.
     """
     size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    # A token is six bytes or so, and each order adds at most one n-gram for it.
-    shards = max(1, -(-size * order // (6 * SHARD_GRAMS)))
-    dealt = _dealt(df, blocks)
-
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                yield _requests(pdf, 1, shards)
-
-    # Tokens and types of the training rows: from the scan, for these need no blocks.
-    counted = dealt.where("NOT held_out").mapInPandas(words, "block long, shard long, keys binary, counts binary")
-    facts = counted.groupBy("shard").applyInPandas(_shard_facts, "tokens long, types long").agg(F.sum("tokens"), F.sum("types")).first()
+    # A token is six bytes or so, and each order has at most one n-gram for it.
+    shards = max(1, -(-size // (6 * SHARD_GRAMS)))
+    # Tokens and types of the training rows: words alone, from the blocks as they are packed.
+    words = _asked(_packed_blocks(df, block_bytes), 1, shards)
+    facts = words.groupBy("shard").applyInPandas(_shard_facts, "tokens long, types long").agg(F.sum("tokens"), F.sum("types")).first()
     tokens, types = facts[0] or 0, facts[1] or 0
-    answers = _answered(dealt, order, shards)
+    blocks = _packed_blocks(df, block_bytes)
+
+    def requests(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _requests(pdf["block"].iloc[0], pdf["data"].iloc[0], order, shards)
 
     def scored(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        return _scores(docs, found, order, prior, tokens, types)
+        return _scores(docs["data"].iloc[0], found, order, shards, prior, tokens, types)
 
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
+    # Both passes read the blocks from one exchange: rows move once, compressed.
+    asked = blocks.groupBy("block").applyInPandas(requests, "block long, shard long, keys binary, counts binary")
+    answers = asked.groupBy("shard").applyInPandas(_answers, "block long, shard long, totals binary")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
         scored,
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )

@@ -7,7 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,11 +89,44 @@ def test_language_model_asks_few_of_many_shards(spark, monkeypatch):
     got = sorted(map(tuple, backoff_lm.score_documents(df, block_bytes=100).collect()))
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert [g[6] for g in got] == pytest.approx([w[6] for w in want])
-    pdf = pd.DataFrame({"block": [3], "text": ["a b c"], "held_out": [False]})
-    asked = backoff_lm._requests(pdf, 2, 10_000)
+    sink = pa.BufferOutputStream()
+    table = pa.table({"doc_id": [1], "text": ["a b c"], "held_out": [False]})
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    asked = backoff_lm._requests(3, sink.getvalue().to_pybytes(), 2, 10_000)
     assert len(asked) <= 10 and asked["keys"].map(lambda k: len(backoff_lm._unpacked_keys(k))).min() > 0
 
 
+def test_language_model_spreads_equal_rows(spark):
+    """Rows that are all the same fill many blocks, and each counts."""
+    df = spark.range(3000, numPartitions=3).select((F.col("id") * 0 + 8).alias("doc_id"), F.lit("the cat ran far " * 5).alias("text"))
+    assert crc(8, 5) != 1
+    blocks = backoff_lm._packed_blocks(df, 10_000)
+    sizes = [len(backoff_lm._texts(bytes(r.data))) for r in blocks.collect()]
+    assert sum(sizes) == 3000 and max(sizes) * 80 <= 10_000 + 80
+    got = backoff_lm.score_documents(df, block_bytes=10_000).distinct().collect()
+    assert len(got) == 1 and (got[0].n_tokens, got[0].train_tokens) == (21, 63_000)
+    assert got[0].score == pytest.approx(next(iter(brute_lm([(8, "the cat ran far " * 5)] * 3000, backoff_lm.ORDER, backoff_lm.PRIOR)))[6])
+
+
+def test_lanes_walk_as_whole_texts():
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("a b c d e".split()) for _ in range(n)) for n in (0, 1, 5, 40, 300, 7, 64)]
+    for order in (1, 2, 3, 4):
+        block = backoff_lm.BlockGrams(texts, order)
+        automaton = backoff_lm.Automaton(block, block.counted(np.arange(len(texts)) % 3 > 0), 400, 6, backoff_lm.PRIOR)
+        whole = automaton.traverse(10_000)
+        # One state is carried, by hand.
+        n = 0
+        for size, start in zip(block.sizes, block.starts):
+            state = np.array([automaton.begin])
+            for i in range(start, start + size):
+                p, state = automaton.step(state, block.places[0][i : i + 1])
+                assert p[0] == pytest.approx(whole[i])
+                n += 1
+        assert n == len(whole) and all(np.allclose(automaton.traverse(lane), whole) for lane in (1, 4, 16, 33))
+
+
 def test_language_model_without_training_rows(spark):
     held = next(i for i in range(100) if crc(i, 5) == 1)
     row = backoff_lm.digests(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
@@ -107,7 +140,7 @@ def test_probabilities_of_a_state_sum_to_one():
     block = backoff_lm.BlockGrams(texts, 2)
     counts = block.counted(np.arange(len(texts)) < 2)
     types = len({w for t in texts[:2] for w in t.split()}) + 1
-    _, score = backoff_lm.Automaton(block, counts, int(block.sizes[:2].sum()), types, backoff_lm.PRIOR).traverse()
+    score = backoff_lm.Automaton(block, counts, int(block.sizes[:2].sum()), types, backoff_lm.PRIOR).traverse()
     ends = np.cumsum(block.sizes)
     after = [10 ** score[ends[k] - 2] for k in range(2, 8)] + [10 ** score[ends[8] - 1]]
     assert sum(after) == pytest.approx(1.0)
