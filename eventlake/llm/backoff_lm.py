@@ -36,32 +36,43 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, id_remainder
+from .common import id_remainder
 
 #: Words of an n-gram, and A and B of the prior's weight.
 ORDER, PRIOR = 3, (5.0, 0.85)
 #: Remainder of crc32(doc_id) mod 5 of the rows that are held out.
 FOLDS, HELD_OUT = 5, 1
 #: Text of a block, and n-grams of a shard: both bound a task's memory.
-BLOCK_BYTES, SHARD_GRAMS = 24 << 20, 4_000_000
+BLOCK_BYTES, SHARD_GRAMS = 16 << 20, 4_000_000
 #: The end of a text, and its beginning, as keys no word's hash is taken for.
 END, BEGIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
-#: Bits of a word's key and of a longer n-gram's: six fewer save a byte of each that moves.
-WORD_BITS, GRAM_BITS = 64, 58
+#: Bits of a word's key and of a longer n-gram's: fewer save a byte of each that moves.
+WORD_BITS, GRAM_BITS = 64, 56
 #: Tokens of a lane: the traversal walks all lanes of a block abreast, and longer texts are several.
 LANE = 1024
 
 
-def token_keys(text: str | None) -> np.ndarray:
-    """64-bit keys of the text's words, A-Z lower-cased, and of the end."""
+def block_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens of each text, each token's word, each word's 64-bit key): words with A-Z lower-cased, and the end of each text."""
     import xxhash
 
-    words = (text or "").encode().translate(FOLD).split()
-    out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    out[-1] = END
-    return out
+    folded = pc.ascii_lower(texts.cast(pa.large_string()))
+    lists = pc.ascii_split_whitespace(folded)
+    offsets = lists.offsets.to_numpy()
+    words = lists.values
+    real = pc.binary_length(words).to_numpy() > 0
+    upto = np.concatenate(([0], np.cumsum(real)))[offsets]
+    sizes = np.diff(upto) + 1
+    coded = words.filter(pa.array(real)).dictionary_encode()
+    ends = np.frombuffer(coded.dictionary.buffers()[1], np.int64, len(coded.dictionary) + 1).tolist()
+    data = memoryview(coded.dictionary.buffers()[2] or b"")
+    keys = np.fromiter((xxhash.xxh64_intdigest(data[a:b]) for a, b in zip(ends, ends[1:])), np.uint64, len(ends) - 1)
+    word = np.full(int(sizes.sum()), len(keys), np.int32)
+    end = np.zeros(len(word), bool)
+    end[np.cumsum(sizes) - 1] = True
+    word[~end] = coded.indices.to_numpy()
+    return sizes, word, np.append(keys, END)
 
 
 def _mixed(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -71,21 +82,22 @@ def _mixed(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x * np.uint64(0x94D049BB133111EB)
 
 
-def gram_keys(tokens: np.ndarray, at: np.ndarray, order: int) -> list[np.ndarray]:
-    """For each order the key of the n-gram that ends at each token; ``at``: places of the tokens in their texts, which begin marks precede."""
-    before = [tokens]
-    for j in range(1, order):
+def gram_keys(tokens: np.ndarray, at: np.ndarray, order: int) -> Iterator[np.ndarray]:
+    """For each order from 2 on the key of the n-gram that ends at each token; ``at``: places of the tokens in their texts, which begin marks precede."""
+
+    def before(j: int) -> np.ndarray:
+        if j == 0:
+            return tokens
         shifted = np.full(len(tokens), BEGIN, np.uint64)
         shifted[j:] = tokens[:-j]
         shifted[at < j] = BEGIN
-        before.append(shifted)
-    keys = [tokens]
+        return shifted
+
     for k in range(2, order + 1):
-        key = before[k - 1]
+        key = before(k - 1)
         for j in range(k - 2, -1, -1):
-            key = _mixed(key, before[j])
-        keys.append(key >> np.uint64(64 - GRAM_BITS))
-    return keys
+            key = _mixed(key, before(j))
+        yield key >> np.uint64(64 - GRAM_BITS)
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -124,10 +136,36 @@ def _shard_bounds(keys: np.ndarray, shards: int, bits: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]))
 
 
-def _begin_keys(order: int) -> list[np.ndarray]:
-    """Keys of the contexts of 1, 2, ... begin marks."""
-    marks = np.full(order, BEGIN, np.uint64)
-    return [k[-1:] for k in gram_keys(marks, np.arange(order), order)]
+def _begin_keys(order: int) -> Iterator[np.ndarray]:
+    """Keys of the contexts of 2, 3, ... begin marks."""
+    return (k[-1:] for k in gram_keys(np.full(order, BEGIN, np.uint64), np.arange(order), order))
+
+
+def sorting(key: np.ndarray, bits: int) -> np.ndarray:
+    """argsort of keys below 2 to the power of ``bits``: a plain sort of their top bits with the places below them, then what these leave open."""
+    low = max(1, len(key).bit_length())
+    cut = max(0, bits - (64 - low))
+    packed = (key.astype(np.uint64) >> np.uint64(cut)) << np.uint64(low) | np.arange(len(key), dtype=np.uint64)
+    packed.sort()
+    by = (packed & np.uint64((1 << low) - 1)).astype(np.int64)
+    if cut:
+        packed >>= np.uint64(low)
+        found = key[by]
+        for at in np.flatnonzero(found[1:] < found[:-1]).tolist():
+            same = slice(*np.searchsorted(packed, packed[at : at + 1].repeat(2) + np.array([0, 1], np.uint64)).tolist())
+            by[same] = by[same][np.argsort(key[by[same]], kind="stable")]
+    return by
+
+
+def _ranked(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct keys, place of each key in them)."""
+    by = sorting(key, bits)
+    key = key[by]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    place = np.empty(len(key), np.int32)
+    place[by] = np.cumsum(new, dtype=np.int32) - 1
+    return key[new], place
 
 
 class BlockGrams:
@@ -136,23 +174,17 @@ class BlockGrams:
     The keys of order k also have the context of k begin marks, at ``marks[k - 1]``.
     """
 
-    def __init__(self, texts: list[str | None], order: int):
+    def __init__(self, texts: pa.Array, order: int):
         self.order = order
-        tokens = [token_keys(t) for t in texts]
-        self.sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.sizes, word, keys = block_tokens(texts)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-        self.at = np.arange(len(flat)) - np.repeat(self.starts, self.sizes)
-        self.keys, self.places, self.marks = [], [], []
-        for key, mark in zip(gram_keys(flat, self.at, order), _begin_keys(order)):
-            key = np.append(key, mark)
-            by = np.argsort(key)
-            key = key[by]
-            new = np.ones(len(key), bool)
-            new[1:] = key[1:] != key[:-1]
-            place = np.empty(len(key), np.int32)
-            place[by] = np.cumsum(new, dtype=np.int32) - 1
-            self.keys.append(key[new])
+        flat = keys[word]
+        at = np.arange(len(flat), dtype=np.int32) - np.repeat(self.starts.astype(np.int32), self.sizes)
+        distinct, place = _ranked(np.append(keys, BEGIN), WORD_BITS)
+        self.keys, self.places, self.marks = [distinct], [place[word]], [int(place[-1])]
+        for key, mark in zip(gram_keys(flat, at, order), _begin_keys(order)):
+            distinct, place = _ranked(np.append(key, mark), GRAM_BITS)
+            self.keys.append(distinct)
             self.places.append(place[:-1])
             self.marks.append(int(place[-1]))
 
@@ -226,7 +258,7 @@ class Automaton:
             weights.append(np.log10(p[of]))
             nexts.append(state_of[last - 1][block.places[last - 1][of]])
         arcs = np.concatenate([*arcs, np.zeros(0, np.int64)])
-        by = np.argsort(arcs)
+        by = sorting(arcs, (self.n_states * self.n_words).bit_length())
         self.arcs = arcs[by]
         self.arc_weight = np.concatenate([*weights, np.zeros(0)])[by]
         self.arc_next = np.concatenate([*nexts, np.zeros(0, np.int32)])[by]
@@ -244,7 +276,9 @@ class Automaton:
             after[at] = self.root_next[w[root]]
             open_, s, w = open_[~root], s[~root], w[~root]
             key = s.astype(np.int64) * self.n_words + w
-            arc = np.searchsorted(self.arcs, key)
+            by = np.argsort(key)  # keys in order are found near each other
+            arc = np.empty(len(key), np.int64)
+            arc[by] = np.searchsorted(self.arcs, key[by])
             found = arc < len(self.arcs)
             found[found] = self.arcs[arc[found]] == key[found]
             at = open_[found]
@@ -287,6 +321,10 @@ def _texts(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(data)).read_all()
 
 
+def _column(table: pa.Table, name: str) -> pa.Array:
+    return pa.concat_arrays(table[name].chunks) if table[name].num_chunks else pa.array([], table.schema.field(name).type)
+
+
 def _requests(block: int, data: bytes, order: int, shards: int) -> pd.DataFrame:
     """A block's requests: for each shard its sorted keys and what the block's training documents count for them.
 
@@ -295,7 +333,7 @@ def _requests(block: int, data: bytes, order: int, shards: int) -> pd.DataFrame:
     square of the corpus.
     """
     docs = _texts(data)
-    grams = BlockGrams(docs["text"].to_pylist(), order)
+    grams = BlockGrams(_column(docs, "text"), order)
     rows = []
     for k, counts in enumerate(grams.counted(~docs["held_out"].to_numpy()), 1):
         at = _shard_bounds(grams.keys[k - 1], shards, _bits(k))
@@ -324,12 +362,13 @@ def _answers(pdf: pd.DataFrame) -> pd.DataFrame:
 def _scores(data: bytes, answers: pd.DataFrame, order: int, shards: int, prior: tuple[float, float], train_tokens: int, train_types: int) -> pd.DataFrame:
     """A block's texts through its part of the automaton."""
     docs = _texts(data)
-    block = BlockGrams(docs["text"].to_pylist(), order)
+    block = BlockGrams(_column(docs, "text"), order)
     answers = answers.sort_values("shard")
     of = answers["shard"].to_numpy() // shards
     totals = [np.concatenate([_unpacked(t) for t in answers["totals"][of == k]]) for k in range(order)]
     if [len(t) for t in totals] != [len(k) for k in block.keys]:
         raise RuntimeError("a block was packed anew from other rows: score a stored table")
+    known = (totals[0] > 0)[block.places[0]].astype(np.int64)
     automaton = Automaton(block, totals, train_tokens, train_types, prior)
     score = automaton.traverse()
     words = block.places[0]
@@ -338,7 +377,7 @@ def _scores(data: bytes, answers: pd.DataFrame, order: int, shards: int, prior:
             "doc_id": docs["doc_id"].to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get),
             "held_out": docs["held_out"].to_numpy(),
             "n_tokens": block.sizes,
-            "n_known": np.add.reduceat((totals[0] > 0)[words].astype(np.int64), block.starts),
+            "n_known": np.add.reduceat(known, block.starts),
             "train_tokens": np.full(len(docs), train_tokens, np.int64),
             "base_score": np.add.reduceat(automaton.base[words], block.starts),
             "score": np.add.reduceat(score, block.starts),

@@ -99,21 +99,27 @@ def test_language_model_asks_few_of_many_shards(spark, monkeypatch):
 
 def test_language_model_spreads_equal_rows(spark):
     """Rows that are all the same fill many blocks, and each counts."""
-    df = spark.range(3000, numPartitions=3).select((F.col("id") * 0 + 8).alias("doc_id"), F.lit("the cat ran far " * 5).alias("text"))
-    assert crc(8, 5) != 1
+    df = spark.range(3000, numPartitions=3).select((F.col("id") * 0 + 9).alias("doc_id"), F.lit("the cat ran far " * 5).alias("text"))
+    assert crc(9, 5) != 1
     blocks = backoff_lm._packed_blocks(df, 10_000)
     sizes = [len(backoff_lm._texts(bytes(r.data))) for r in blocks.collect()]
     assert sum(sizes) == 3000 and max(sizes) * 80 <= 10_000 + 80
     got = backoff_lm.score_documents(df, block_bytes=10_000).distinct().collect()
     assert len(got) == 1 and (got[0].n_tokens, got[0].train_tokens) == (21, 63_000)
-    assert got[0].score == pytest.approx(next(iter(brute_lm([(8, "the cat ran far " * 5)] * 3000, backoff_lm.ORDER, backoff_lm.PRIOR)))[6])
+    assert got[0].score == pytest.approx(next(iter(brute_lm([(9, "the cat ran far " * 5)] * 3000, backoff_lm.ORDER, backoff_lm.PRIOR)))[6])
+
+
+def test_sorting_resolves_what_the_top_bits_leave_open():
+    rng = np.random.default_rng(1)
+    for key in (rng.integers(0, 1 << 63, 5000, dtype=np.uint64), rng.integers(0, 50, 5000).astype(np.uint64) + np.uint64(1 << 60), np.zeros(0, np.uint64), np.arange(9, dtype=np.uint64)[::-1]):
+        assert (key[backoff_lm.sorting(key, 64)] == np.sort(key)).all()
 
 
 def test_lanes_walk_as_whole_texts():
     rng = random.Random(2)
     texts = [" ".join(rng.choice("a b c d e".split()) for _ in range(n)) for n in (0, 1, 5, 40, 300, 7, 64)]
     for order in (1, 2, 3, 4):
-        block = backoff_lm.BlockGrams(texts, order)
+        block = backoff_lm.BlockGrams(pa.array(texts), order)
         automaton = backoff_lm.Automaton(block, block.counted(np.arange(len(texts)) % 3 > 0), 400, 6, backoff_lm.PRIOR)
         whole = automaton.traverse(10_000)
         # One state is carried, by hand.
@@ -137,7 +143,7 @@ def test_language_model_without_training_rows(spark):
 def test_probabilities_of_a_state_sum_to_one():
     """Over the vocabulary, the end and the mass of unknown words, after a known context."""
     texts = ["the cat ran", "the dog ran far", *(f"the {w}" for w in "the cat dog ran far unknown".split()), "the"]
-    block = backoff_lm.BlockGrams(texts, 2)
+    block = backoff_lm.BlockGrams(pa.array(texts), 2)
     counts = block.counted(np.arange(len(texts)) < 2)
     types = len({w for t in texts[:2] for w in t.split()}) + 1
     score = backoff_lm.Automaton(block, counts, int(block.sizes[:2].sum()), types, backoff_lm.PRIOR).traverse()
