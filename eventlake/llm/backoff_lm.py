@@ -171,20 +171,23 @@ def _ranked(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 class BlockGrams:
     """A block's sorted distinct n-grams of each order, and each token's place in them.
 
-    The keys of order k also have the context of k begin marks, at ``marks[k - 1]``.
+    The keys of order k also have the context of k begin marks, at ``marks[k - 1]``;
+    ``distinct`` counts them, for those who don't need the longer n-grams' keys.
     """
 
-    def __init__(self, texts: pa.Array, order: int):
+    def __init__(self, texts: pa.Array, order: int, keys_too: bool = True):
         self.order = order
         self.sizes, word, keys = block_tokens(texts)
         self.starts = np.cumsum(self.sizes) - self.sizes
         flat = keys[word]
         at = np.arange(len(flat), dtype=np.int32) - np.repeat(self.starts.astype(np.int32), self.sizes)
         distinct, place = _ranked(np.append(keys, BEGIN), WORD_BITS)
-        self.keys, self.places, self.marks = [distinct], [place[word]], [int(place[-1])]
+        self.keys, self.places, self.marks, self.distinct = [distinct], [place[word]], [int(place[-1])], [len(distinct)]
         for key, mark in zip(gram_keys(flat, at, order), _begin_keys(order)):
             distinct, place = _ranked(np.append(key, mark), GRAM_BITS)
-            self.keys.append(distinct)
+            self.distinct.append(len(distinct))
+            if keys_too:
+                self.keys.append(distinct)
             self.places.append(place[:-1])
             self.marks.append(int(place[-1]))
 
@@ -212,7 +215,7 @@ class Automaton:
     def __init__(self, block: BlockGrams, totals: list[np.ndarray], train_tokens: int, train_types: int, prior: tuple[float, float]):
         order, words = block.order, block.places[0]
         n = len(words)
-        self.words, self.n_words = words, len(block.keys[0])
+        self.words, self.n_words = words, block.distinct[0]
         # The states: of each order but the last the keys that training has, and the begin marks.
         state_of, contexts, self.n_states = [], [], 1
         for k in range(1, order):
@@ -224,7 +227,9 @@ class Automaton:
             contexts.append(totals[k - 1][known])
         c = np.concatenate([[0], *contexts]).astype(float)
         m = prior[0] * np.maximum(c, 1.0) ** prior[1]
-        weight = m / (c + m)
+        per_count = 1 / (c + m)
+        weight = m * per_count
+        del c, m, contexts
         self.fail_weight = np.log10(weight)
         self.fail = np.zeros(self.n_states, np.int32)
         for k in range(2, order):
@@ -240,28 +245,30 @@ class Automaton:
         self.root_next = state_of[0].copy() if order > 1 else np.zeros(self.n_words, np.int32)
         if order > 1:
             self.root_next[totals[0] == 0] = 0
-        arcs, weights, nexts = [], [], []
+        self.arcs, self.arc_weight, self.arc_next = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32)
+        bits = (self.n_states * self.n_words).bit_length()
         for k in range(2, order + 1):
             before = np.empty(n, np.int32)  # the state of the context of k - 1 words before each token
             before[1:] = state_of[k - 2][block.places[k - 2][:-1]]
             before[block.starts] = state_of[k - 2][block.marks[k - 2]]
+            p *= weight[before]
             count = totals[k - 1][block.places[k - 1]]
-            p = weight[before] * p
-            seen = np.flatnonzero(count > 0)
-            p[seen] += count[seen] / (c[before[seen]] + m[before[seen]])
+            seen = np.flatnonzero(count > 0).astype(np.int32)
+            p[seen] += count[seen] * per_count[before[seen]]
+            del count
             # One token for each distinct n-gram that training has.
-            of = np.full(len(block.keys[k - 1]), -1, np.int64)
+            of = np.full(block.distinct[k - 1], -1, np.int32)
             of[block.places[k - 1][seen]] = seen
             of = of[of >= 0]
+            del seen
+            arcs = before[of].astype(np.int64) * self.n_words + words[of]
+            by = sorting(arcs, bits)
+            of = of[by]
             last = min(k, order - 1)
-            arcs.append(before[of].astype(np.int64) * self.n_words + words[of])
-            weights.append(np.log10(p[of]))
-            nexts.append(state_of[last - 1][block.places[last - 1][of]])
-        arcs = np.concatenate([*arcs, np.zeros(0, np.int64)])
-        by = sorting(arcs, (self.n_states * self.n_words).bit_length())
-        self.arcs = arcs[by]
-        self.arc_weight = np.concatenate([*weights, np.zeros(0)])[by]
-        self.arc_next = np.concatenate([*nexts, np.zeros(0, np.int32)])[by]
+            # States are numbered by order, so arcs of longer contexts come after all others.
+            self.arcs = np.concatenate([self.arcs, arcs[by]])
+            self.arc_weight = np.concatenate([self.arc_weight, np.log10(p[of])])
+            self.arc_next = np.concatenate([self.arc_next, state_of[last - 1][block.places[last - 1][of]]])
         self.block = block
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -321,6 +328,17 @@ def _texts(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(data)).read_all()
 
 
+def _rows(grams: BlockGrams, trained: np.ndarray, block: int, shards: int) -> pd.DataFrame:
+    """Requests for a block's n-grams."""
+    rows = []
+    for k, counts in enumerate(grams.counted(trained), 1):
+        at = _shard_bounds(grams.keys[k - 1], shards, _bits(k))
+        for shard in np.flatnonzero(np.diff(at)):
+            part = slice(at[shard], at[shard + 1])
+            rows.append((block, (k - 1) * shards + int(shard), _packed_keys(grams.keys[k - 1][part]), _packed(counts[part])))
+    return pd.DataFrame(rows, columns=["block", "shard", "keys", "counts"])
+
+
 def _column(table: pa.Table, name: str) -> pa.Array:
     return pa.concat_arrays(table[name].chunks) if table[name].num_chunks else pa.array([], table.schema.field(name).type)
 
@@ -333,14 +351,7 @@ def _requests(block: int, data: bytes, order: int, shards: int) -> pd.DataFrame:
     square of the corpus.
     """
     docs = _texts(data)
-    grams = BlockGrams(_column(docs, "text"), order)
-    rows = []
-    for k, counts in enumerate(grams.counted(~docs["held_out"].to_numpy()), 1):
-        at = _shard_bounds(grams.keys[k - 1], shards, _bits(k))
-        for shard in np.flatnonzero(np.diff(at)):
-            part = slice(at[shard], at[shard + 1])
-            rows.append((block, (k - 1) * shards + int(shard), _packed_keys(grams.keys[k - 1][part]), _packed(counts[part])))
-    return pd.DataFrame(rows, columns=["block", "shard", "keys", "counts"])
+    return _rows(BlockGrams(_column(docs, "text"), order), ~docs["held_out"].to_numpy(), block, shards)
 
 
 def _answers(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -362,14 +373,16 @@ def _answers(pdf: pd.DataFrame) -> pd.DataFrame:
 def _scores(data: bytes, answers: pd.DataFrame, order: int, shards: int, prior: tuple[float, float], train_tokens: int, train_types: int) -> pd.DataFrame:
     """A block's texts through its part of the automaton."""
     docs = _texts(data)
-    block = BlockGrams(_column(docs, "text"), order)
+    block = BlockGrams(_column(docs, "text"), order, keys_too=False)
+    docs = docs.select(["doc_id", "held_out"])
     answers = answers.sort_values("shard")
     of = answers["shard"].to_numpy() // shards
     totals = [np.concatenate([_unpacked(t) for t in answers["totals"][of == k]]) for k in range(order)]
-    if [len(t) for t in totals] != [len(k) for k in block.keys]:
+    if [len(t) for t in totals] != block.distinct:
         raise RuntimeError("a block was packed anew from other rows: score a stored table")
     known = (totals[0] > 0)[block.places[0]].astype(np.int64)
     automaton = Automaton(block, totals, train_tokens, train_types, prior)
+    del totals
     score = automaton.traverse()
     words = block.places[0]
     return pd.DataFrame(
@@ -385,55 +398,61 @@ def _scores(data: bytes, answers: pd.DataFrame, order: int, shards: int, prior:
     )
 
 
-def _packed_blocks(df: DataFrame, block_bytes: int) -> DataFrame:
-    """(block, data): rows of df as they lie, so many that their texts reach ``block_bytes``, compressed.
-
-    Equal rows are spread as they are in df.  A block is named by its partition and number.
-    """
-    rows = df.select(
+def _prepared(df: DataFrame) -> DataFrame:
+    return df.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("text", F.lit("")).alias("text"),
         (id_remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"),
     )
 
+
+def _chunks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.Table]:
+    """Rows as they lie, so many that their texts reach ``block_bytes``, from one task."""
+    held, size = [], 0
+    for batch in batches:
+        length = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(batch):
+            done = int(length[at - 1]) if at else 0
+            upto = min(int(np.searchsorted(length, done + block_bytes - size)) + 1, len(batch))
+            held.append(batch.slice(at, upto - at))
+            size += int(length[upto - 1]) - done
+            at = upto
+            if size >= block_bytes:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _packed_blocks(df: DataFrame, block_bytes: int) -> DataFrame:
+    """(block, data): rows of df in blocks, compressed.
+
+    Equal rows are spread as they are in df.  A block is named by its partition and number.
+    """
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        held, size, n = [], 0, 0
         name = TaskContext.get().partitionId() << 32
-
-        def packed() -> pa.RecordBatch:
+        for n, table in enumerate(_chunks(batches, block_bytes)):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
-                out.write_table(pa.Table.from_batches(held).combine_chunks())
-            return pa.RecordBatch.from_pydict({"block": pa.array([name | n], pa.int64()), "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
-
-        for batch in batches:
-            length = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False))
-            at = 0
-            while at < len(batch):
-                done = int(length[at - 1]) if at else 0
-                upto = int(np.searchsorted(length, done + block_bytes - size)) + 1
-                part = batch.slice(at, min(upto, len(batch)) - at)
-                held.append(part)
-                size += int(length[at + len(part) - 1]) - done
-                at += len(part)
-                if size >= block_bytes:
-                    yield packed()
-                    held, size, n = [], 0, n + 1
-        if held:
-            yield packed()
-
-    return rows.mapInArrow(pack, "block long, data binary")
-
-
-def _asked(blocks: DataFrame, order: int, shards: int) -> DataFrame:
-    def requests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for block, data in zip(pdf["block"], pdf["data"]):
-                yield _requests(block, data, order, shards)
-
-    return blocks.mapInPandas(requests, "block long, shard long, keys binary, counts binary")
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+                out.write_table(table)
+            yield pa.RecordBatch.from_pydict({"block": pa.array([name | n], pa.int64()), "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    return _prepared(df).mapInArrow(pack, "block long, data binary")
+
+
+def _word_requests(df: DataFrame, block_bytes: int, shards: int) -> DataFrame:
+    """(shard, keys, counts) of the training rows' words, from the rows as they lie."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _chunks(batches, block_bytes):
+            found = _rows(BlockGrams(_column(table, "text"), 1), np.ones(len(table), bool), 0, shards)
+            yield pa.RecordBatch.from_pandas(found[["shard", "keys", "counts"]], preserve_index=False)
+
+    return _prepared(df).where("NOT held_out").mapInArrow(words, "shard long, keys binary, counts binary")
 
 
 def _shard_facts(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -458,7 +477,7 @@ def score_documents(df: DataFrame, order: int = ORDER, prior: tuple[float, float
     # A token is six bytes or so, and each order has at most one n-gram for it.
     shards = max(1, -(-size // (6 * SHARD_GRAMS)))
     # Tokens and types of the training rows: words alone, from the blocks as they are packed.
-    words = _asked(_packed_blocks(df, block_bytes), 1, shards)
+    words = _word_requests(df, block_bytes, shards)
     facts = words.groupBy("shard").applyInPandas(_shard_facts, "tokens long, types long").agg(F.sum("tokens"), F.sum("types")).first()
     tokens, types = facts[0] or 0, facts[1] or 0
     blocks = _packed_blocks(df, block_bytes)
