@@ -26,6 +26,7 @@ is the part of the automaton that the block's texts can reach.
 
 from __future__ import annotations
 
+import contextlib
 import zlib
 from collections.abc import Iterator
 
@@ -101,13 +102,16 @@ def gram_keys(tokens: np.ndarray, at: np.ndarray, order: int) -> Iterator[np.nda
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """Unsigned counts, a byte each where they fit, deflated: most are 0 or 1."""
-    kind = np.uint8 if not len(values) or values.max() < 256 else np.uint64
-    return bytes([np.dtype(kind).itemsize]) + zlib.compress(values.astype(kind).tobytes(), 1)
+    """Unsigned counts, deflated: a byte each, for most are 0 or 1; those from 255 on follow in full."""
+    large = values[values >= 255].astype("<u8")
+    return len(values).to_bytes(8, "little") + zlib.compress(np.minimum(values, 255).astype(np.uint8).tobytes() + large.tobytes(), 4)
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob[1:]), f"<u{blob[0]}").astype(np.int64)
+    data, n = zlib.decompress(blob[8:]), int.from_bytes(blob[:8], "little")
+    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<u8", offset=n)
+    return out
 
 
 def _packed_keys(keys: np.ndarray) -> bytes:
@@ -324,6 +328,15 @@ class Automaton:
         return out
 
 
+def _frugal() -> None:
+    """A worker that gives large arrays back as soon as they are freed, and doesn't keep them for the next stage's workers to miss."""
+    import ctypes
+
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such setting
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def _texts(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(data)).read_all()
 
@@ -434,10 +447,11 @@ def _packed_blocks(df: DataFrame, block_bytes: int) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        _frugal()
         name = TaskContext.get().partitionId() << 32
         for n, table in enumerate(_chunks(batches, block_bytes)):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
                 out.write_table(table)
             yield pa.RecordBatch.from_pydict({"block": pa.array([name | n], pa.int64()), "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
@@ -448,6 +462,7 @@ def _word_requests(df: DataFrame, block_bytes: int, shards: int) -> DataFrame:
     """(shard, keys, counts) of the training rows' words, from the rows as they lie."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _frugal()
         for table in _chunks(batches, block_bytes):
             found = _rows(BlockGrams(_column(table, "text"), 1), np.ones(len(table), bool), 0, shards)
             yield pa.RecordBatch.from_pandas(found[["shard", "keys", "counts"]], preserve_index=False)
@@ -476,16 +491,18 @@ def score_documents(df: DataFrame, order: int = ORDER, prior: tuple[float, float
     size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # A token is six bytes or so, and each order has at most one n-gram for it.
     shards = max(1, -(-size // (6 * SHARD_GRAMS)))
-    # Tokens and types of the training rows: words alone, from the blocks as they are packed.
-    words = _word_requests(df, block_bytes, shards)
+    # Tokens and types of the training rows: words alone, from the rows as they lie.
+    words = _word_requests(df, 2 * block_bytes, shards)
     facts = words.groupBy("shard").applyInPandas(_shard_facts, "tokens long, types long").agg(F.sum("tokens"), F.sum("types")).first()
     tokens, types = facts[0] or 0, facts[1] or 0
     blocks = _packed_blocks(df, block_bytes)
 
     def requests(pdf: pd.DataFrame) -> pd.DataFrame:
+        _frugal()
         return _requests(pdf["block"].iloc[0], pdf["data"].iloc[0], order, shards)
 
     def scored(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        _frugal()
         return _scores(docs["data"].iloc[0], found, order, shards, prior, tokens, types)
 
     # Both passes read the blocks from one exchange: rows move once, compressed.
