@@ -123,25 +123,39 @@ def near_duplicates(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    """near_duplicates() of (doc_id, text), with text_hash."""
+    """near_duplicates() of (doc_id, text), with text_hash and keeper: what the group's first row is and how often it is there.
+
+    Rows go by doc_id, those without one last, then by the hash of their text.
+    """
     docs = checkpoint(with_fingerprint(rows.withColumn("text_hash", F.xxhash64("text"))).select("doc_id", "fp", "text_hash"))
-    by_fp = checkpoint(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    same = docs.groupBy("fp", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash", "n")
+    by_fp = checkpoint(same.groupBy("fp").agg(F.min(row).alias("least")))
     roots = components(links(by_fp.select("fp")))
     rooted = by_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = checkpoint(rooted.join(groups, "root").select("fp", "component_id"))
+    groups = rooted.groupBy("root").agg(F.min("least").alias("keeper"))
+    moved = checkpoint(rooted.join(groups, "root").select("fp", "keeper"))
     # A fingerprint that many copies share is a hot key of docs: AQE splits it, for the other side has one row for each.
-    return docs.join(moved, "fp", "left").select("doc_id", "fp", "component_id", "text_hash")
+    return docs.join(moved, "fp", "left").select("doc_id", "fp", F.col("keeper.doc_id").alias("component_id"), "text_hash", "keeper")
 
 
 def drop_near_duplicates(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with one document of each group: the one of the smallest doc_id, with all rows of that id in the group.
+    """df with one row of each group: of the smallest doc_id, of several texts of that id the one of the least hash.
 
-    Rows without an id stay.  A doc_id of several texts loses only those whose group has a smaller id.
+    A doc_id of several texts loses those that are in another's group, or not
+    its first in the group.  A row that repeats stays once.  Rows without an id
+    are grouped like any other, and stay where nobody in the group has one.
     """
     found = _grouped(df.select("doc_id", ref(text).alias("text")))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__el_id"), F.col("text_hash").alias("__el_h")).distinct()
-    return df.join(gone, (F.col("doc_id") == F.col("__el_id")) & (F.xxhash64(ref(text)) == F.col("__el_h")), "left_anti")
+    first = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & F.col("text_hash").eqNullSafe(F.col("keeper.text_hash"))
+    named = [F.col("doc_id").alias("__el_id"), F.col("text_hash").alias("__el_h")]
+    here = F.col("doc_id").eqNullSafe(F.col("__el_id")) & F.xxhash64(ref(text)).eqNullSafe(F.col("__el_h"))
+    kept = df.join(found.where(~first).select(*named).distinct(), here, "left_anti")
+    often = checkpoint(found.where(first & (F.col("keeper.n") > 1)).select(*named).distinct())
+    if often.isEmpty():
+        return kept
+    once = kept.join(often, here, "left_semi").dropDuplicates(["doc_id", text])
+    return kept.join(often, here, "left_anti").unionByName(once)
 
 
 def digests(df: DataFrame) -> DataFrame:

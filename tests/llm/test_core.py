@@ -229,14 +229,31 @@ def test_simhash_query(docs):
     assert sorted(map(tuple, rows), key=str) == want
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} - {None} == set(least.values())
+    assert {r.doc_id for r in kept.collect()} - {None} == set(least.values()) - {None}
     assert simhash.digests(docs.limit(0)).count() == 0
 
 
-def test_near_duplicates_of_an_id_with_two_texts(spark):
-    copy, own = "one two three four five six", "quite another text of its own words"
-    df = spark.createDataFrame([(1, copy), (2, copy), (2, own)], "doc_id long, text string")
-    assert sorted(map(tuple, simhash.drop_near_duplicates(df).collect())) == [(1, copy), (2, own)]
+def test_near_duplicates_by_row(spark):
+    """Repeated ids, equal rows, rows without an id: one row of each group, whatever its id's other rows do."""
+    copy, own, far = "one two three four five six", "quite another text of its own words", "nobody else says this at all here"
+    rows = [(2, copy, "a"), (5, own, "b"), (5, copy, "c"), (5, own, "d"), (5, own, "b"), (None, copy, "e"), (None, far, "f"), (None, far, "g"), (7, None, "h"), (8, "", "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [(r.doc_id, r.text) for r in simhash.drop_near_duplicates(df).collect()]
+    assert sorted(kept, key=str) == sorted([(2, copy), (5, own), (None, far), (7, None)], key=str)
+    rng = random.Random(3)
+    for _ in range(3):
+        words = "alpha beta gamma delta epsilon zeta eta".split()
+        texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 5))) for _ in range(12)]
+        rows = [(rng.choice([None, *range(8)]), rng.choice(texts)) for _ in range(60)]
+        got = [tuple(r) for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+        root = brute_components([brute_fingerprint(t) for _, t in rows])
+        groups = {}
+        for r, c in zip(rows, root):
+            groups.setdefault(c, set()).add(r)
+        group_of = {r: c for c, g in groups.items() for r in g}
+        assert len(got) == len(groups) and {group_of[r] for r in got} == groups.keys()
+        least = lambda g: min((i for i, _ in g if i is not None), default=None)
+        assert all(i == least(groups[group_of[i, t]]) for i, t in got)
 
 
 def test_simhash_links_are_complete(spark):
