@@ -23,7 +23,7 @@ def sf_dir(spark, tmp_path_factory):
     item = " ".join(rows[5][1].split()[:14])
     rows += [(1000, rows[1][1], None, None, None), (1001, rows[4][1], "en", "src1", 3), (1002, "pre " + item + " post and more words to be long enough " + rows[8][1], "en", "src1", 3)]
     # An id of two texts, of which one is another document's, and a row that repeats.
-    rows += [(1006, rows[1][1], None, None, None), (1006, rows[2][1] + " and words that no other document has in its end", "en", "src2", 9), (1007, rows[3][1] + " with quite another end than all of the others have", "en", "src2", 9)]
+    rows += [(1006, rows[1][1], None, None, None), (1006, rows[2][1] + " and words that no other document has in its end", "en", "src2", 9), (1007, rows[8][1] + " with quite another end than all of the others have", "en", "src2", 9)]
     rows += [rows[-1]]
     rows += [(1003, None, None, None, None), (1004, "", None, None, None), (1005, "few words", None, None, None)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{at}/documents.parquet")
