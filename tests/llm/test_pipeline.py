@@ -40,7 +40,7 @@ def test_pipeline_is_its_stages_by_brute_force(spark, sf_dir):
         n, _, _, _, repeats = brute_statistics(t)
         if n >= 10 and 100 * repeats <= 20 * n and truth.get(i, 1):
             left.append((i, t))
-    holders = [i for i, t in left if licence in t]
+    holders = [i for i, t in left if licence in t.split("\n")]
     assert len(holders) >= 5
     left = [(i, t if i == max(holders) else "\n".join(x for x in t.split("\n") if x != licence)) for i, t in left]
     first = {}
@@ -49,7 +49,7 @@ def test_pipeline_is_its_stages_by_brute_force(spark, sf_dir):
     left = sorted((i, t) for i, t in first.values() if not brute_hits(t, items)[1])
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
     found = corpus_pipeline.run(spark, at).collect()
-    assert sorted((r.doc_id, r.text) for r in found) == left
+    assert {(r.doc_id, r.text) for r in found} ^ set(left) == set() and len(found) == len(left)
     ids = {r.doc_id for r in found}
     assert 1000 not in ids and 1002 not in ids and 5 not in ids and {1006, 1007} <= ids
     for r in found:
