@@ -4,11 +4,15 @@ The kernel compares short strings by the subsequences of three characters that
 they share, each weighted by a decay for every character that its closest
 occurrence spans, so a gap or an inserted character weakens a match without
 losing it; the weights of a shared subsequence meet in their minimum (histogram
-intersection), so that repeats don't add up to a match.  Landmarks are
-strings that tell toxic documents of the labelled sample; a word's kernel with
-each landmark, relative to the landmark's with itself, is what the word has of
-it.  The Nyström map turns that into coordinates of a linear machine.  Labels
-are of documents, insults are words, so training alternates: the word of each
+intersection), so that repeats don't add up to a match.  The machine's kernel is
+that to the power POWER, a product of kernels and so a kernel itself:
+
+    K(x, y) = k(x, y) ** POWER
+
+Landmarks are strings that tell toxic documents of the labelled sample.  The
+Nyström map takes a string's K with all landmarks to coordinates in which inner
+products of landmarks are K itself; a linear machine in them is a weighted sum
+of K with the landmarks.  Labels are of documents, insults are words, so training alternates: the word of each
 toxic document that the machine finds worst is its witness, with any other that
 it finds toxic, the worst words of clean documents are counterexamples, and the
 machine is trained anew on them
@@ -41,7 +45,7 @@ SAME = 0.85
 #: Distinct toxic documents that must hold a landmark, how much rarer it must be in clean ones, and its evidence: chance gives
 #: a string so large a share of toxic ones with a probability of exp(-MIN_EVIDENCE) at most (6e-6).
 MIN_ROWS, MIN_RATIO, MIN_EVIDENCE = 4, 10, 12.0
-#: Power of the relative kernel (a product of kernels is a kernel): chance matches fade, near matches stay.
+#: Power of the kernel: chance matches fade, near matches stay.
 POWER = 3.0
 #: Remainder of crc32(doc_id) mod 5 of the rows that are held out; score from which a document is predicted toxic.
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
@@ -136,14 +140,26 @@ class SubsequenceKernel:
             out[w[first]] += np.add.reduceat(shared, first, axis=0)
         return out
 
-    def relative(self, strings: list[bytes]) -> np.ndarray:
-        """What each string has of each landmark: 1 where it holds all of it, to the power POWER."""
-        return np.minimum(self(strings) / self.own, 1.0).astype(np.float32) ** POWER
+    def powered(self, strings: list[bytes]) -> np.ndarray:
+        """(strings, landmarks) values of the machine's kernel K."""
+        return self(strings).astype(float) ** POWER
+
+    def share(self, strings: list[bytes]) -> np.ndarray:
+        """What each string has of each landmark, from 0 to 1 where it holds all of its subsequences."""
+        return self(strings) / self.own
+
+
+def nystroem(kernel: SubsequenceKernel) -> np.ndarray:
+    """The map from K with the landmarks to coordinates: the inverse root of the landmarks' gram matrix, where it has rank."""
+    gram = kernel.powered(kernel.landmarks)
+    value, vector = np.linalg.eigh((gram + gram.T) / 2)
+    kept = value > 1e-8 * value.max()
+    return vector[:, kept] / np.sqrt(value[kept])
 
 
 @dataclass
 class ToxicityModel:
-    """The machine over units of text: weights on the relative kernel with each landmark, a bias, a calibration.
+    """The machine over units of text: weights of K with each landmark, a bias, a calibration.
 
     Without weights, as before the first round, the margin is how far the unit is another form of any landmark.
     """
@@ -154,10 +170,10 @@ class ToxicityModel:
     scale: float = 1.0
     shift: float = 0.0
 
-    def margins(self, relative: np.ndarray) -> np.ndarray:
+    def margins(self, kernel: SubsequenceKernel, strings: list[bytes]) -> np.ndarray:
         if self.weights is None:
-            return relative.max(axis=1, initial=0.0) - SAME**POWER
-        return relative @ self.weights + self.bias
+            return kernel.share(strings).max(axis=1, initial=0.0) - SAME
+        return kernel.powered(strings) @ self.weights + self.bias
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * np.asarray(margin) + self.shift, -60, 60)))
@@ -176,7 +192,7 @@ class Margins:
             new = list(found)
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            self.known.update(zip(part, self.model.margins(self.kernel.relative(part)).tolist()))
+            self.known.update(zip(part, self.model.margins(self.kernel, part).tolist()))
 
     def worst(self, docs: list[set[bytes]]) -> list[float]:
         """The largest margin of each document's units; that of nothing, the bias, where it has none."""
@@ -250,7 +266,7 @@ def choose_landmarks(sample: DataFrame, n: int = LANDMARKS, candidates: int = CA
     if not strings:
         return []
     kernel = SubsequenceKernel(strings)
-    share = kernel(strings) / kernel.own  # what i has of j
+    share = kernel.share(strings)  # what i has of j
     kept: list[int] = []
     for i in range(len(strings)):
         if len(kept) < n and all(share[i, j] < SAME and share[j, i] < SAME for j in kept):
@@ -279,8 +295,9 @@ def _machine(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> tuple[np.ndar
 def fit(df: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> ToxicityModel:
     """From at most ``fit_rows`` labelled rows outside the held-out fold, drawn by the hash of their id.
 
-    A doc_id labelled twice is toxic if any label says so.  Without both labels
-    the score is the share of toxic ones.
+    A doc_id labelled twice is toxic if any label says so; one of several texts
+    counts with the least of them, so that ``fit_rows`` bounds rows as well.
+    Without both labels the score is the share of toxic ones.
     """
     known = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
@@ -291,31 +308,28 @@ def fit(df: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> ToxicityM
     drawn = draw(known, fit_rows)
     # fit_rows bounds this side: two numbers a row.
     # The sample is stored, for each round reads it, and the whole table is read once.
-    sample = checkpoint(df.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"))
+    sample = checkpoint(df.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
     landmarks = choose_landmarks(sample)
     model = ToxicityModel(landmarks, None)
     kernel = SubsequenceKernel(landmarks)
-    if landmarks:
-        gram = (kernel(landmarks) / np.sqrt(np.outer(kernel.own, kernel.own))).astype(float) ** POWER
-        value, vector = np.linalg.eigh(gram)
-        whiten = vector @ np.diag(1 / np.sqrt(np.maximum(value, 0.1))) @ vector.T
     clean: set[bytes] = set()
     rows = _witnesses(sample, model).select("doc_id", "toxic", "worst", "units", "margins").collect()
     y = np.array([r.toxic for r in rows], float)
     if not landmarks or not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
         return ToxicityModel(landmarks, np.zeros(len(landmarks)), 0.0, 0.0, float(np.log(share / (1 - share))))
+    coordinates = nystroem(kernel)
     for _ in range(ROUNDS):
         clean.update(bytes(u) for r in rows if not r.toxic for u in r.units)
         toxic = {bytes(u) for r in rows if r.toxic for u, m in zip(r.units, r.margins) if m > 0 or m == r.worst}
         witness = sorted(toxic - clean)
         strings = [*witness, *sorted(clean)]
-        x = kernel.relative([*strings, *map(_gapped, strings)]).astype(float) @ whiten
+        x = kernel.powered([*strings, *map(_gapped, strings)]) @ coordinates
         w, bias = _machine(x, np.tile(np.arange(len(strings)) < len(witness), 2).astype(float))
-        model = ToxicityModel(landmarks, whiten @ w, bias)
+        model = ToxicityModel(landmarks, coordinates @ w, bias)
         rows = _witnesses(sample, model).select("doc_id", "toxic", "worst", "units", "margins").collect()
     # Toxic documents enter the calibration as they are, and every fourth as its witnesses would be with a character inserted.
-    gapped = [max(model.margins(kernel.relative([_gapped(bytes(u)) for u in r.units])), default=bias) for r in sorted(rows, key=lambda r: r.doc_id) if r.toxic][::4]
+    gapped = [max(model.margins(kernel, [_gapped(bytes(u)) for u in r.units]), default=bias) for r in sorted(rows, key=lambda r: r.doc_id) if r.toxic][::4]
     margin = np.array([*(r.worst for r in rows), *gapped], float)
     model.scale, model.shift = _platt(margin, np.array([*(r.toxic for r in rows), *[1] * len(gapped)], float))
     return model

@@ -203,7 +203,7 @@ def test_kernel_knows_all_bytes_of_its_landmarks():
     landmarks = ["abcdefghijkl".encode(), "mnopqrstuvwx".encode(), "абвгде".encode(), "жзийкл".encode(), "αβγδεζ".encode(), "ηθικλμ".encode()]
     kernel = toxicity.SubsequenceKernel(landmarks)
     assert len(set(b"".join(landmarks))) > 31 and (kernel.code[list(b"".join(landmarks))] > 0).all()
-    assert np.diag(kernel.relative(landmarks)) == pytest.approx(1.0)
+    assert np.diag(kernel.share(landmarks)) == pytest.approx(1.0)
     assert kernel.own[0] == pytest.approx(kernel.own[1], rel=1e-5)
 
 
@@ -214,7 +214,8 @@ def test_toxicity_without_labels(spark):
     assert toxicity.digests(df.limit(0), none).count() == 0
 
 
-def test_kernel_is_the_intersection_of_closest_subsequences():
+def brute_kernel(s, t):
+    """The shared subsequences of three bytes, by their closest occurrences, compared one by one."""
     from itertools import combinations
 
     def features(s):
@@ -226,14 +227,72 @@ def test_kernel_is_the_intersection_of_closest_subsequences():
                 out[g] = max(out.get(g, 0), toxicity.DECAY**span)
         return out
 
+    a, b = features(s), features(t)
+    return sum(min(a[g], b[g]) for g in a.keys() & b.keys())
+
+
+def test_kernel_is_the_intersection_of_closest_subsequences():
     rng = random.Random(2)
     some = [bytes(rng.choice(b"abcd") for _ in range(rng.randint(0, 14))) for _ in range(30)]
     landmarks = [bytes(rng.choice(b"abcd") for _ in range(rng.randint(3, 9))) for _ in range(6)]
     got = toxicity.SubsequenceKernel(landmarks)(some)
     for i, s in enumerate(some):
         for j, t in enumerate(landmarks):
-            a, b = features(s), features(t)
-            assert got[i, j] == pytest.approx(sum(min(a[g], b[g]) for g in a.keys() & b.keys()), rel=1e-4, abs=1e-5)
+            assert got[i, j] == pytest.approx(brute_kernel(s, t), rel=1e-4, abs=1e-5)
+
+
+def test_nystroem_reproduces_the_landmarks_kernel():
+    landmarks = [b"zwolch", b"krampig", b"bumfozz", b"zwolche", b"abc", "Ünfläd".encode()]
+    kernel = toxicity.SubsequenceKernel(landmarks)
+    z = kernel.powered(landmarks) @ toxicity.nystroem(kernel)
+    want = [[brute_kernel(a, b) ** toxicity.POWER for b in landmarks] for a in landmarks]
+    assert np.allclose(z @ z.T, want, rtol=1e-4, atol=1e-4)
+    assert np.allclose(kernel.powered(landmarks), kernel.powered(landmarks).T, rtol=1e-5)
+
+
+def test_toxicity_scores_match_brute_force(spark):
+    """A document's score from the fitted machine's weights: a sum over landmarks, word by word, in plain Python."""
+    docs, labels = toxic_corpus(240, 5)
+    docs += rows_of(["k r a m p i g", "an zw-olch", "", None, "ZWOLCH!"], 1000)
+    df = spark.createDataFrame(docs, SCHEMA)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(df, lab)
+    got = {r.doc_id: r.score for r in toxicity.with_toxicity(df, model).select("doc_id", "score").collect()}
+    assert len(got) == len(docs)
+    for i, t, *_ in docs:
+        margins = [model.bias + sum(w * brute_kernel(u, m) ** toxicity.POWER for w, m in zip(model.weights, model.landmarks)) for u in toxicity.units((t or "").encode())]
+        z = model.scale * max(margins, default=model.bias) + model.shift
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-max(-60, min(60, z)))), abs=2e-4)
+
+
+def test_toxicity_finds_short_rare_and_gapped_insults(spark):
+    """Insults of four to ten letters, one in a fiftieth of the toxic rows; held out rows have them with a character inserted, too."""
+    rng = random.Random(8)
+    syllables = "an er th in on re ti ou le ha st ea ing".split()
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
+    insults = ["gwuk", "zwolch", "krampig", "bumfozzlek", "vrixa"]
+    docs, labels, said = [], [], {}
+    for i in range(2500):
+        w = [word() for _ in range(rng.randint(8, 60))]
+        bad = i % 4 == 0
+        if bad:
+            insult = "vrixa" if i % 200 == 0 else rng.choice(insults[:4])
+            plain = crc(i, 5) != 0 or rng.random() < 0.5
+            at = rng.randrange(1, len(insult))
+            w.insert(rng.randrange(len(w)), insult if plain else insult[:at] + rng.choice("-*.x_") + insult[at:])
+            said[i] = (insult, plain)
+        docs.append((i, " ".join(w), None, "s", None, None, None))
+        labels.append((i, 1, int(bad)))
+    # A labelled id that comes back very often counts once.
+    docs += [(0, docs[0][1], None, "s", None, None, None)] * 300
+    df = spark.createDataFrame(docs, SCHEMA)
+    rows = toxicity.digests(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert len(rows) == len(docs)
+    held = {r.doc_id: r.predicted for r in rows if r.held_out}
+    recall = lambda keep: np.mean([held[i] for i in held if i in said and keep(*said[i])] or [1])
+    print("recall: short", recall(lambda w, p: len(w) == 4 and p), "rare", recall(lambda w, p: w == "vrixa"), "gapped", recall(lambda w, p: not p and len(w) > 4), "short and gapped", recall(lambda w, p: not p and len(w) == 4))
+    assert recall(lambda w, plain: plain) > 0.97 and recall(lambda w, plain: not plain and len(w) > 5) > 0.9
+    assert np.mean([held[i] for i in held if i not in said]) < 0.03
 
 
 # --- quality
