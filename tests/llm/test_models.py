@@ -346,21 +346,90 @@ def test_fit_takes_whole_documents(spark, monkeypatch):
     assert sum(seen[1]) <= sizes[-1] and set(seen[1]) <= set(sizes)
 
 
-def test_chain_marginals_match_enumeration():
+def brute_chain(u, stay):
+    """(log Z, P(good) of each place, expected agreement) by enumerating all labellings."""
     from itertools import product
 
+    weight, good, agree = 0.0, np.zeros(len(u)), 0.0
+    for y in product((0, 1), repeat=len(u)):
+        same = sum(a == b for a, b in zip(y, y[1:]))
+        p = math.exp(float(np.dot(u, y)) + stay * same)
+        weight += p
+        good += p * np.array(y)
+        agree += p * same
+    return math.log(weight), good / weight, agree / weight
+
+
+def test_chain_marginals_match_enumeration():
     rng = np.random.default_rng(0)
-    for n in (1, 2, 5, 8):
-        u, stay = rng.normal(size=n) * 2, float(rng.uniform(0, 2))
-        weight, good, agree = 0.0, np.zeros(n), 0.0
-        for y in product((0, 1), repeat=n):
-            same = sum(a == b for a, b in zip(y, y[1:]))
-            p = math.exp(float(np.dot(u, y)) + stay * same)
-            weight += p
-            good += p * np.array(y)
-            agree += p * same
-        got, together = quality_crf.chain_marginals(u, stay)
-        assert got == pytest.approx(good / weight) and together == pytest.approx(agree / weight)
+    chains = [(rng.normal(size=n) * 2, float(rng.uniform(-1, 2))) for n in (1, 2, 5, 8)]
+    for u, stay in chains:
+        assert quality_crf.chain_marginals(u, stay) == pytest.approx(brute_chain(u, stay)[1])
+        padded, mask = np.zeros((1, 9)), np.zeros((1, 9))
+        padded[0, : len(u)], mask[0, : len(u)] = u, 1.0
+        good, agree = quality_crf._batch_marginals(padded, mask, stay)
+        assert good[0, : len(u)] == pytest.approx(brute_chain(u, stay)[1]) and agree[0] == pytest.approx(brute_chain(u, stay)[2])
+
+
+def test_gradient_is_that_of_the_stated_likelihood():
+    rng = np.random.default_rng(4)
+    n, width = [3, 5, 1], 4
+    x, mask, y = rng.normal(size=(3, 5, width)), np.zeros((3, 5)), np.zeros((3, 5))
+    for k, size in enumerate(n):
+        mask[k, :size], y[k, :size] = 1.0, rng.integers(0, 2, size)
+    v, w, stay = np.array([0.5, 2.0, 1.0]), rng.normal(size=width), 0.7
+
+    def likelihood(w, stay):
+        total = 0.0
+        for k, size in enumerate(n):
+            u, labels = x[k, :size] @ w, y[k, :size]
+            total += v[k] * (u @ labels + stay * (labels[1:] == labels[:-1]).sum() - brute_chain(u, stay)[0])
+        return total
+
+    by_w, by_stay = quality_crf.gradient(w, stay, quality_crf._Chains(x.reshape(-1, width), mask, y, v))
+    h = 1e-5
+    for k in range(width):
+        step = np.eye(width)[k] * h
+        assert by_w[k] == pytest.approx((likelihood(w + step, stay) - likelihood(w - step, stay)) / (2 * h), abs=1e-5)
+    assert by_stay == pytest.approx((likelihood(w, stay + h) - likelihood(w, stay - h)) / (2 * h), abs=1e-5)
+
+
+def test_quality_scores_and_labels_match_brute_force(spark, quality):
+    """Short texts through the fitted field, their marginals by enumeration."""
+    df, lab, docs, _ = quality
+    model = quality_crf.fit(df, lab)
+    texts = ["one line only", "", None, "Good words here.\nBUY!!! $$$ BUY!!!\nBUY!!! $$$ BUY!!!\n\nand some more of it.", "a\nb\nc"]
+    some = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    scores = {r.doc_id: r for r in quality_crf.with_quality(some, model).collect()}
+    lines = {r.doc_id: r.lines for r in quality_crf.label_lines(some, model).collect()}
+    for i, t in enumerate(texts):
+        x, weight = quality_crf.line_features(t or "")
+        good = brute_chain(model.potentials(x), model.stay)[1]
+        assert [z.p for z in lines[i]] == pytest.approx(good) and [z.good for z in lines[i]] == [g > 0.5 for g in good]
+        p = min(max(float(good @ weight / weight.sum()), 1e-6), 1 - 1e-6)
+        assert scores[i].score == pytest.approx(1 / (1 + math.exp(-(model.scale * math.log(p / (1 - p)) + model.shift))))
+        assert (scores[i].n_lines, scores[i].n_good) == (len(good), int((good > 0.5).sum()))
+
+
+def test_very_many_lines_in_parts(monkeypatch):
+    text = "\n".join(f"line {i % 7} of" + " words" * (i % 5) for i in range(500)) + "\n" * 300
+    whole = quality_crf.line_features(text)
+    monkeypatch.setattr(quality_crf, "PART_LINES", 17)
+    monkeypatch.setattr(quality_crf, "PART_BYTES", 101)
+    parts = quality_crf.line_features(text)
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all() and len(whole[0]) == text.count("\n") + 1
+    assert sum(len(x) for x in quality_crf._lines(b"\n")) == 2 and list(quality_crf._lines(b"")) == [[b""]]
+    u = np.random.default_rng(1).normal(size=1000)
+    cut = quality_crf.chain_marginals(u, 0.8)
+    monkeypatch.setattr(quality_crf, "PART_LINES", 10_000)
+    assert quality_crf.chain_marginals(u, 0.8) == pytest.approx(cut)
+
+
+def test_lines_of_bad_documents_may_become_good():
+    x, y = np.array([[3.0], [3.0], [-3.0], [3.0], [2.0], [1.0]]), np.array([[0.0, 0, 0], [0, 0, 0]])
+    chains = quality_crf._Chains(x, np.ones((2, 3)), y, np.ones(2))
+    quality_crf._relabel(chains, np.ones(1), 0.0)
+    assert chains.y.tolist() == [[1, 1, 0], [1, 1, 0]]
 
 
 def brute_statistics(text):
