@@ -45,6 +45,8 @@ ORDER, PRIOR = 3, (5.0, 0.85)
 FOLDS, HELD_OUT = 5, 1
 #: Text of a block, and n-grams of a shard: both bound a task's memory.
 BLOCK_BYTES, SHARD_GRAMS = 16 << 20, 4_000_000
+#: Most tasks of a stage; beyond, a task takes several blocks or shards, one after the other.
+MOST_TASKS = 20_000
 #: The end of a text, and its beginning, as keys no word's hash is taken for.
 END, BEGIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -492,10 +494,11 @@ def score_documents(df: DataFrame, order: int = ORDER, prior: tuple[float, float
     # A token is six bytes or so, and each order has at most one n-gram for it.
     shards = max(1, -(-size // (6 * SHARD_GRAMS)))
     # Tokens and types of the training rows: words alone, from the rows as they lie.
-    words = _word_requests(df, 2 * block_bytes, shards)
+    words = _word_requests(df, 2 * block_bytes, shards).repartition(min(MOST_TASKS, shards), "shard")
     facts = words.groupBy("shard").applyInPandas(_shard_facts, "tokens long, types long").agg(F.sum("tokens"), F.sum("types")).first()
     tokens, types = facts[0] or 0, facts[1] or 0
-    blocks = _packed_blocks(df, block_bytes)
+    # As many tasks as there are blocks and shards: none reads more as the corpus grows.
+    blocks = _packed_blocks(df, block_bytes).repartition(min(MOST_TASKS, -(-size // block_bytes) or 1), "block")
 
     def requests(pdf: pd.DataFrame) -> pd.DataFrame:
         _frugal()
@@ -507,6 +510,7 @@ def score_documents(df: DataFrame, order: int = ORDER, prior: tuple[float, float
 
     # Both passes read the blocks from one exchange: rows move once, compressed.
     asked = blocks.groupBy("block").applyInPandas(requests, "block long, shard long, keys binary, counts binary")
+    asked = asked.repartition(min(MOST_TASKS, order * shards), "shard")
     answers = asked.groupBy("shard").applyInPandas(_answers, "block long, shard long, totals binary")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
         scored,

@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 
 from .common import arrow_apply, ref, struct_array
 
-#: Entries of each worker's piece and pair caches; a full cache starts afresh.
-PIECE_CACHE, PAIR_CACHE = 300_000, 400_000
+#: Entries of each worker's piece and pair caches; a full cache starts afresh.  Longer pieces than PIECE_CHARS are not kept.
+PIECE_CACHE, PAIR_CACHE, PIECE_CHARS = 300_000, 400_000, 64
 _NONE = 1 << 62
 
 
@@ -166,8 +166,11 @@ class TextCodec:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.packed.__getitem__, self.pieces(text)))
-
+        packed, make = self.packed, self.packed.make
+        pieces = self.pieces(text)
+        if len(max(pieces, key=len, default="")) <= PIECE_CHARS:
+            return b"".join(map(packed.__getitem__, pieces))
+        return b"".join([packed[p] if len(p) <= PIECE_CHARS else make(p) for p in pieces])
 
 
 class Decoder:
@@ -198,7 +201,8 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 
     ``decoded`` names a further column for the bytes that the ids decode to: a
     round trip in the same process, which :func:`decode` after this would double.
-    ``path`` is the vocabulary file on every machine, as installed.  Null and
+    ``path`` is the vocabulary file on every machine, as installed; it has all 256
+    single bytes, as byte-level vocabularies do, else what lacks one is an error.  Null and
     empty texts give no tokens.  Row-local: no shuffle, repeated rows each give
     their result; memory is bounded by a batch and the caches.
     """

@@ -40,7 +40,7 @@ def _unescape_role(c: Column) -> Column:
 
 
 def format_conversations(df: DataFrame) -> DataFrame:
-    """(conv_id, example, n_turns, text, loss_start, loss_end): a row for each example, ``example`` counting from 0.
+    """(conv_id, nameless, example, n_turns, text, loss_start, loss_end): a row for each example, ``example`` counting from 0.
 
     ``df`` has conv_id, turn, role and text; other columns are not used.  Rows
     go by turn, those of one turn by role and text; null turns come first; null
@@ -49,10 +49,13 @@ def format_conversations(df: DataFrame) -> DataFrame:
     loss_end are code points of ``text``; only what lies between is trainable.
     Turns after the last reply, or of a conversation without one, are in a last
     example of which nothing is trainable (loss_start = loss_end), so that the
-    output holds every turn.  Rows without a conv_id form one conversation.
+    output holds every turn.  Nothing says which rows without a conv_id belong
+    together: each is a conversation of its own, and ``nameless`` (null for all
+    others) tells them apart.
     """
     turns = df.select(
         "conv_id",
+        F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("nameless"),
         F.struct(
             F.col("turn").alias("turn"),
             F.coalesce(F.col("role"), F.lit("")).alias("role"),
@@ -61,17 +64,18 @@ def format_conversations(df: DataFrame) -> DataFrame:
     )
     head = lambda t: F.concat(F.lit(OPEN), _replace(t["role"], _ROLE_ESCAPES), F.lit("\n"))
     rendered = lambda t: F.concat(head(t), escape(t["text"]), F.lit(CLOSE))
-    grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    grouped = grouped.select("conv_id", "turns", F.transform("turns", rendered).alias("parts"), F.size("turns").alias("n"))
+    grouped = turns.groupBy("conv_id", "nameless").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    grouped = grouped.select("conv_id", "nameless", "turns", F.transform("turns", rendered).alias("parts"), F.size("turns").alias("n"))
     # One number for each example: its count of turns.
     ends = F.filter(F.sequence(F.lit(1), F.col("n")), lambda i: (F.get(F.col("turns"), i - 1)["role"] == TRAINED) | (i == F.col("n")))
-    examples = grouped.select("conv_id", "turns", "parts", F.posexplode(ends).alias("example", "k"))
+    examples = grouped.select("conv_id", "nameless", "turns", "parts", F.posexplode(ends).alias("example", "k"))
     last = F.get(F.col("turns"), F.col("k") - 1)
     text = F.array_join(F.slice("parts", 1, F.col("k")), "")
     trained = last["role"] == TRAINED
     stop = F.char_length("whole") - len(CLOSE)
     return examples.withColumn("whole", text).select(
         "conv_id",
+        "nameless",
         F.col("example").cast("long").alias("example"),
         F.col("k").cast("long").alias("n_turns"),
         F.col("whole").alias("text"),
@@ -98,7 +102,7 @@ def digests(df: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_examples: read back from the examples."""
     examples = format_conversations(df)
     masked = unescape(F.substring("text", F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start")))
-    by = examples.groupBy("conv_id").agg(
+    by = examples.groupBy("conv_id", "nameless").agg(
         F.max_by("text", "example").alias("whole"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("example", masked.alias("masked")))), lambda x: x["masked"]), "").alias("loss"),
         F.sum(F.char_length("text")).alias("formatted_chars"),
@@ -130,16 +134,16 @@ def with_hostile(df: DataFrame) -> DataFrame:
 #: The contract in DuckDB's SQL: turns and losses from the table itself, lengths from the template.
 SQL = r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
-  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS nameless, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, NULL, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, NULL, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), m AS (
   SELECT *, length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'))
             + length(replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'), chr(10), '&#10;')) + 17 AS part,
-         row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n
-  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+         row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id, nameless) AS n
+  FROM t WINDOW w AS (PARTITION BY conv_id, nameless ORDER BY turn, role, text)
 ), c AS (
-  SELECT *, sum(part) OVER (PARTITION BY conv_id ORDER BY k) AS so_far FROM m
+  SELECT *, sum(part) OVER (PARTITION BY conv_id, nameless ORDER BY k) AS so_far FROM m
 )
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
@@ -147,5 +151,5 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(so_far) FILTER (role = 'assistant' OR k = n)::BIGINT AS formatted_chars,
        count(*) FILTER (role = 'assistant' OR k = n) AS n_examples
-FROM c GROUP BY conv_id
+FROM c GROUP BY conv_id, nameless
 """

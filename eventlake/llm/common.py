@@ -11,6 +11,10 @@ Conventions that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -128,18 +132,29 @@ def draw(df: DataFrame, n: int, *more: Column) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset and the master is local, as in tests, a temporary one that
+    goes with the process; on a cluster it is an error.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        import tempfile
-
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the cluster shares")
         named = tempfile.mkdtemp(prefix="eventlake-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     sc.setCheckpointDir(named)
 
 
+def new_path(spark: SparkSession, kind: str) -> str:
+    """A name in the shared folder for a table that is written once; what is written there stays until the folder's owner clears it."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{kind}-{uuid.uuid4().hex}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder: survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -11,14 +11,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FOLD_WORDS, arrow_apply, ref, struct_array, text_bytes
+from .common import FOLD_WORDS, arrow_apply, new_path, ref, struct_array, text_bytes
 
 #: Words of a window, of a shard (a longer document is a shard of its own), bytes of test text sent at once.
 WINDOW, SHARD_WORDS, BLOCK_BYTES = 10, 1_000_000, 8 << 20
@@ -188,7 +190,8 @@ def _index(items: list[tuple[str, bytes]], key: bytes, window: int) -> TestIndex
     return _built[key]
 
 
-def _match_block(df: DataFrame, items: list[tuple[str, bytes]], text: str, window: int) -> DataFrame:
+def _match_block(df: DataFrame, items: list[tuple[str, bytes]], text: str, window: int) -> tuple[DataFrame, Broadcast]:
+    """df with the matches of the items, and the broadcast to destroy when that has been computed."""
     key = hashlib.sha256(repr((window, items)).encode()).digest()
     sent = df.sparkSession.sparkContext.broadcast(items)
 
@@ -208,10 +211,10 @@ def _match_block(df: DataFrame, items: list[tuple[str, bytes]], text: str, windo
                 rows += _shard_rows(index, docs)
             yield struct_array([list(c) for c in zip(*rows)] or [[]] * len(_FIELDS), _FIELDS)
 
-    return arrow_apply(df, [ref(text)], _SCHEMA, process)
+    return arrow_apply(df, [ref(text)], _SCHEMA, process), sent
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str, bytes]]]:
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
     """The items, dealt by hash into blocks of about ``block_bytes``, one collected at a time."""
     items = benchmark.where(F.col("text").isNotNull()).select(
         F.col("item_id").cast("string").alias("item_id"), F.col("text")
@@ -232,27 +235,30 @@ def find_contamination(
     shorter one; matches are the longest verbatim runs of at least a window.
     Null texts have no words, items without words have no windows, items that
     repeat are each matched, and those without an id match with a null item_id.  A benchmark of up to ``block_bytes`` takes one
-    pass without a shuffle; a larger one takes a pass for each block, and only
-    rows with matches are brought together.  Rows keep their multiplicity.
+    pass without a shuffle; a larger one takes a pass for each block, whose hits
+    are written to the shared folder and joined once.  An item is never split, so
+    one of more than ``block_bytes`` is a block of its own.  Rows keep their multiplicity.
     """
     blocks = _blocks(benchmark, block_bytes)
-    first = next(blocks)
-    out = _match_block(df, first, text, window)
-    for items in blocks:
-        # Chained blocks would hold all indexes at once: further blocks give their hits, keyed by the row's content.
-        key = F.xxhash64(F.coalesce(ref(text), F.lit("")))
-        more = _match_block(df.select(key.alias("__el_h"), F.md5(F.coalesce(ref(text), F.lit(""))).alias("__el_m"), ref(text)), items, text, window)
-        more = more.where("n_hit > 0").select("__el_h", "__el_m", F.col("spans").alias("__el_s"), F.col("matches").alias("__el_x"))
-        more = more.dropDuplicates(["__el_h", "__el_m"])
-        out = (
-            out.withColumns({"__el_h1": key, "__el_m1": F.md5(F.coalesce(ref(text), F.lit("")))})
-            .join(more, (F.col("__el_h") == F.col("__el_h1")) & (F.col("__el_m") == F.col("__el_m1")), "left")
-            .withColumn("spans", F.when(F.col("__el_s").isNull(), F.col("spans")).otherwise(_united(F.concat("spans", "__el_s"))))
-            .withColumn("matches", F.when(F.col("__el_x").isNull(), F.col("matches")).otherwise(F.concat("matches", "__el_x")))
-            .withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"]))
-            .drop("__el_h", "__el_m", "__el_h1", "__el_m1", "__el_s", "__el_x")
-        )
-    return out
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _match_block(df, first, text, window)[0]
+    spark, at = df.sparkSession, new_path(df.sparkSession, "hits")
+    whole = F.coalesce(ref(text), F.lit(""))
+    # A block at a time: its hits are written, by the row's content, and its index is given up before the next one.
+    for k, items in enumerate(chain([first, second], blocks)):
+        matched, sent = _match_block(df.select(F.xxhash64(whole).alias("__el_h"), F.md5(whole).alias("__el_m"), ref(text)), items, text, window)
+        hits = matched.where("n_hit > 0").select("__el_h", "__el_m", "spans", "matches").dropDuplicates(["__el_h", "__el_m"])
+        hits.write.parquet(f"{at}/block={k}")
+        sent.destroy()
+    found = spark.read.schema(hits.schema).parquet(*[f"{at}/block={i}" for i in range(k + 1)])
+    found = found.groupBy("__el_h", "__el_m").agg(F.flatten(F.collect_list("spans")).alias("__el_s"), F.flatten(F.collect_list("matches")).alias("__el_x"))
+    counted = _match_block(df, [], text, window)[0].drop("n_hit", "spans", "matches")
+    joined = counted.withColumns({"__el_h": F.xxhash64(whole), "__el_m": F.md5(whole)}).join(found, ["__el_h", "__el_m"], "left")
+    spans = _united(F.coalesce("__el_s", F.array().cast("array<struct<start:int,stop:int>>")))
+    out = joined.withColumns({"spans": spans, "matches": F.coalesce("__el_x", F.array().cast(MATCHES))})
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"])
+    return out.withColumn("n_hit", n_hit).drop("__el_h", "__el_m", "__el_s", "__el_x").select(*[ref(c) for c in counted.columns], "n_hit", "spans", "matches")
 
 
 def _united(spans):
@@ -269,9 +275,9 @@ def _united(spans):
     return F.aggregate(F.array_sort(spans), empty, add)
 
 
-def remove_contaminated(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def remove_contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """df without the rows that hold any window of the benchmark."""
-    found = find_contamination(df.select(*[ref(c).alias(f"__el_{i}") for i, c in enumerate(df.columns)], ref("text").alias("text")), benchmark, **options)
+    found = find_contamination(df.select(*[ref(c).alias(f"__el_{i}") for i, c in enumerate(df.columns)], ref(text).alias("text")), benchmark, **options)
     return found.where("n_hit = 0").select(*[F.col(f"__el_{i}").alias(c) for i, c in enumerate(df.columns)])
 
 

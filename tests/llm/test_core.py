@@ -9,6 +9,7 @@ import tiktoken
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from eventlake.llm import bpe, decontaminate, line_dedup, simhash
 
@@ -126,6 +127,16 @@ ITEMS = [
 ]
 
 
+def test_decontamination_in_blocks_by_another_column(spark, docs):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    other = docs.withColumnRenamed("text", "body").withColumn("text", F.lit("clean"))
+    want = sorted(str(r.doc_id) for r in decontaminate.remove_contaminated(docs, bench).collect())
+    kept = decontaminate.remove_contaminated(other, bench, text="body", block_bytes=60)
+    assert kept.columns == other.columns and sorted(str(r.doc_id) for r in kept.collect()) == want
+    found = decontaminate.find_contamination(docs.withColumn("N_HIT", F.lit("clash")), bench, block_bytes=60)
+    assert [c.lower() for c in found.columns] == [c for c in docs.columns if c not in ("n_hit", "n_words")] + ["n_words", "n_hit", "spans", "matches"]
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 60])
 def test_decontamination(spark, docs, block_bytes):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")

@@ -486,13 +486,20 @@ def test_chat_format(spark):
         (3, 1, "assistant", "tie", 1),
         (3, 0, None, "\\E \\Q $1", 1),
         (None, 0, "sys<tem\nx", "no id", 1),
+        (None, 0, "assistant", "nor has this", 1),
+        (None, 0, "assistant", "nor has this", 1),
         (4, None, "assistant", "é\U0001f600", 1),
         (4, 0, "assistant", "b" * 40_000, 1),
     ]
     df = chat_format.with_hostile(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, example int"))
-    got = {r.conv_id: r for r in chat_format.digests(df).collect()}
+    found = chat_format.digests(df).collect()
+    got = {r.conv_id: r for r in found if r.conv_id is not None}
+    alone = sorted((r.n_turns, r.loss_chars, r.turns_sha256) for r in found if r.conv_id is None)
+    assert alone == sorted((1, len(t) * (r == "assistant"), hashlib.sha256(f"{r}\n{t}\n".encode()).hexdigest()) for c, _, r, t, _ in rows if c is None)
     by = {}
     for c, turn, role, text, *_ in [*rows, (-7, 0, "user", chat_format.HOSTILE), (-7, 1, "assistant", chat_format.HOSTILE)]:
+        if c is None:
+            continue
         by.setdefault(c, []).append((turn if turn is not None else -1, role or "", text or ""))
     assert got.keys() == by.keys()
     for c, turns in by.items():
