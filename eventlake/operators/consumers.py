@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.store import exists
+
 OFFSET_KEY = ["namespace", "stream", "group", "shard"]
 _OFFSET = T.StructType(
     [
@@ -31,6 +33,19 @@ def shard_offsets(commits: DataFrame, by: list[str]) -> DataFrame:
     return commits.groupBy(*by).agg(F.max("committed").alias("committed"))
 
 
+def commit_offsets(offsets: DataFrame, path: str) -> None:
+    """Append offsets (namespace, stream, group, shard, seq) to the table at ``path``: a commit is one job, done or not done."""
+    offsets.select(*OFFSET_KEY, "seq").write.mode("append").parquet(path)
+
+
+def group_offsets(spark: SparkSession, path: str, group: str | None = None) -> DataFrame:
+    """The offsets that commit_offsets wrote, the largest of each key; of one group if it is named.  No table, no offsets."""
+    schema = "namespace string, stream string, `group` string, shard long, seq long"
+    rows = spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+    rows = rows if group is None else rows.where(F.col("group") == group)
+    return rows.groupBy(*OFFSET_KEY).agg(F.max("seq").alias("seq"))
+
+
 def fold_offsets(events: DataFrame) -> DataFrame:
     """(namespace, stream, group, shard, seq) from a log of JSON events (seq, event_type, content as text).
 

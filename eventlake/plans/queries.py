@@ -12,7 +12,7 @@ from ..operators import catalog, consumers, integrity, live, retention, writer
 from ..operators.query import AbsentMatch, LogQuery, Result, build, metadata_value
 from ..schema import MARKER, PROMOTED
 from ..sources import adapters, reads, store
-from ..streaming import export, tail
+from ..streaming import backup, export, tail
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -589,6 +589,30 @@ def offset_fold(spark, sf_dir):
     return consumers.fold_offsets(commits.where("seq <> 600").unionByName(marks))
 
 
+def _offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = F.concat(F.lit("g"), F.col("group").cast("string"))
+    return _commits(spark, sf_dir).select(F.lit("n").alias("namespace"), F.lit("s").alias("stream"), g.alias("group"), "shard", F.col("committed").alias("seq"), "commit_no")
+
+
+_GROUPS = _COMMITS + """select 'n' as namespace, 's' as stream, 'g' || "group"::varchar as "group", shard::bigint as shard, max(committed)::bigint as seq from c {0} group by all"""
+
+
+@query(_GROUPS.format('where "group" = 3'))
+def offset_group_listing(spark, sf_dir):
+    """One group's offsets, read back from a table that was committed to twice."""
+    offsets, at = _offsets(spark, sf_dir), store.new_path(spark, "offsets")
+    for late in (False, True):
+        consumers.commit_offsets(offsets.where((F.col("commit_no") % 2 == 1) == late), at)
+    return consumers.group_offsets(spark, at, "g3")
+
+
+@query(_GROUPS.format(""))
+def offset_snapshot_roundtrip(spark, sf_dir):
+    """Offsets as a snapshot event, folded back."""
+    event = consumers.snapshot_event(consumers.shard_offsets(_offsets(spark, sf_dir).withColumnRenamed("seq", "committed"), consumers.OFFSET_KEY).withColumnRenamed("committed", "seq"))
+    return consumers.fold_offsets(event.withColumn("seq", F.lit(1).cast("long")))
+
+
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").select(
         F.concat(F.lit("g"), (F.col("o_custkey") % 20).cast("string")).alias("group"),
@@ -676,6 +700,35 @@ def export_json_lines(spark, sf_dir):
     return export.json_lines(_events(spark, sf_dir))
 
 
+@query(U + "select gid, stream, seq from u")
+def replicate_resume(spark, sf_dir):
+    """A standby gets half of the records, then all of them: what it has is passed over."""
+    records, at = _by_user(spark, sf_dir), store.new_path(spark, "standby")
+    copy = export.replicate(at, 1, lambda: 1)
+    copy(records.where("gid % 2 = 0"), 0)
+    copy(records, 1)
+    return spark.read.parquet(at).select("gid", "stream", "seq")
+
+
+@query(U + "select 'fixture' as namespace, stream, true as ok, 1::bigint as verified_from, max(seq) as verified_to, 0::bigint as error_at_seq, count(*) as n_records from u group by stream")
+def backup_restore(spark, sf_dir):
+    """The restored table's sequence check."""
+    at = store.new_path(spark, "backup")
+    backup.backup(spark, _record_table(spark, sf_dir, "by_user", adapters.events_by_user), f"{at}/kept")
+    return backup.restore(spark, f"{at}/kept", f"{at}/restored")
+
+
+@query(R + """select '{"namespace":"fixture","stream":"events","seq":' || seq::varchar || ',"event_type":"' || event_type || '","content_type":"application/json","timestamp_ns":' || timestamp_ns::varchar || ',"content":"' || to_base64(props::blob) || '"}' as line from r""")
+def export_resume(spark, sf_dir):
+    """An export that stops after a part of the table and goes on from its checkpoint when the rest has come."""
+    at, records = store.new_path(spark, "export"), _events(spark, sf_dir)
+    for part in (records.where("seq % 3 = 0"), records.where("seq % 3 <> 0")):
+        writer.write(part, f"{at}/table")
+        rows = tail.open_stream(spark, f"{at}/table")
+        tail.drain(rows.select(export.json_line().alias("line")), f"{at}/lines", f"{at}/checkpoint")
+    return spark.read.parquet(f"{at}/lines")
+
+
 @query(R + "select seq, case when seq % 3 <> 2 then props end as content from r")
 def aes_keyring_roundtrip(spark, sf_dir):
     keys = [bytes([k]) * 32 for k in (1, 2, 3)]

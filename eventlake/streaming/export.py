@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.store import exists
 from .tail import deliver
 
 #: Backoff doubles up to so many times the first wait, and to so many seconds.
 BACKOFF_TIMES, BACKOFF_SECONDS = 64, 60.0
+#: Batches of a sink that one task pushes of one stream.
+STRETCH = 64
 
 
 def json_lines(records: DataFrame) -> DataFrame:
@@ -74,13 +77,15 @@ def to_sink(sink: Sink, size: int = 1000, first_wait: float = 0.1, tries: int =
 
     def each(batch: DataFrame, batch_id: int) -> None:
         rows = batch.dropDuplicates(["namespace", "stream", "seq"]).withColumn("line", json_line())
-        rows = rows.select("namespace", "stream", "seq", "line").repartition("namespace", "stream").sortWithinPartitions("namespace", "stream", "seq")
+        # A long stream is several stretches of its numbers, the same ones however often the batch comes: so are the tokens.
+        rows = rows.select("namespace", "stream", F.floor(F.col("seq") / (size * STRETCH)).alias("stretch"), "seq", "line")
+        rows = rows.repartition("namespace", "stream", "stretch").sortWithinPartitions("namespace", "stream", "stretch", "seq")
 
         def partition(part: Iterable) -> None:
             from itertools import groupby
 
-            for key, group in groupby(part, key=lambda r: (r.namespace, r.stream)):
-                _pushed(group, sink, size, "/".join(key), first_wait, tries)
+            for key, group in groupby(part, key=lambda r: (r.namespace, r.stream, r.stretch)):
+                _pushed(group, sink, size, "/".join(key[:2]), first_wait, tries)
 
         rows.foreachPartition(partition)
 
@@ -88,7 +93,10 @@ def to_sink(sink: Sink, size: int = 1000, first_wait: float = 0.1, tries: int =
 
 
 def export(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, **options) -> StreamingQuery:
-    """First all there is, then what comes: one query whose checkpoint is the export's progress."""
+    """First all there is, then what comes: one query whose checkpoint is the export's progress.
+
+    With ``once=False`` rows wait ``seconds`` at most before a batch, however small, is flushed to the sink.
+    """
     return deliver(stream, each, checkpoint, **options)
 
 
@@ -106,12 +114,8 @@ def replicate(path: str, epoch: int, known_epoch: Callable[[], int]) -> Callable
         ends = batch.agg(F.min("gid"), F.max("gid")).first()
         if ends[0] is None:
             return
-        try:
-            have = spark.read.parquet(path).select("gid").where(F.col("gid").between(*ends))
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            have = batch.select("gid").limit(0)
+        there = exists(spark, path)
+        have = spark.read.parquet(path).select("gid").where(F.col("gid").between(*ends)) if there else batch.select("gid").limit(0)
         batch.dropDuplicates(["gid"]).join(have, "gid", "left_anti").write.mode("append").parquet(path)
 
     return each
