@@ -9,6 +9,9 @@ from ..functions.ids import gid_local
 from ..operators.ranges import number_rows
 from ..schema import PAGE_ROWS, STREAM
 
+#: Most gids that are sent to all executors (8 MB).
+SENT = 1_000_000
+
 
 def read_gid(records: DataFrame, gid: int) -> DataFrame:
     return records.where(F.col("gid") == gid)
@@ -22,13 +25,16 @@ def read_seq(live: DataFrame, namespace: str, stream: str, seq: int) -> DataFram
 def multi_get(records: DataFrame, gids: list[int]) -> DataFrame:
     """A row for each asked gid, in order, with ``pos`` from 0 and ``found``; repeats are kept, misses have nulls.
 
-    The list comes from the caller, so its size is known: the scan is cut to
-    its span, and the join is left to the sizes.
+    The list comes from the caller, so its size is known: the scan is cut to its
+    span and, up to SENT gids, sifted by the list itself before anything moves.
     """
     asked = records.sparkSession.createDataFrame([(i, g) for i, g in enumerate(gids)], "pos long, asked long")
     if not gids:
         return asked.join(records.withColumn("found", F.lit(True)).limit(0), F.col("asked") == F.col("gid"), "left")
     within = records.where((F.col("gid") >= min(gids)) & (F.col("gid") <= max(gids))).withColumn("found", F.lit(True))
+    if len(gids) <= SENT:
+        names = records.sparkSession.createDataFrame([(g,) for g in set(gids)], "__gid long")
+        within = within.join(F.broadcast(names), F.col("gid") == F.col("__gid"), "left_semi")
     return asked.join(within, F.col("asked") == F.col("gid"), "left").withColumn("found", F.coalesce("found", F.lit(False))).orderBy("pos")
 
 
