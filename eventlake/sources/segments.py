@@ -8,7 +8,8 @@ where length counts all of it and the checksum covers all before itself.  In
 compressed or encrypted files, records are in frames (stored length u32, raw
 length u32, payload): zstd, then AES-GCM with the nonce of 12 bytes in front.
 What is cut off, fails its checksum or opens with no key ends up in ``corrupt``
-with what could be read.
+with what could be read.  After a damaged length the records go on where the
+next one is whole and has a right checksum; the stretch between is one row.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ _FIXED = struct.Struct("<IQQI")
 _FRAME = struct.Struct("<II")
 FLAG_COMPRESSED, FLAG_ENCRYPTED = 0x04, 0x08
 _OVERHEAD = _FIXED.size + HASH_BYTES + 4
+#: Bytes that a search for the next record looks at together.
+_SEARCH = 1 << 20
 
 SCHEMA = "path string, segment_id long, partition_id long, sequence long, timestamp_ns long, content binary, hash_n binary, corrupt string"
 _FRAMES = "path string, segment_id long, partition_id long, flags long, frame long, payload binary, raw_size long, corrupt string"
@@ -78,6 +82,25 @@ def frames(path: str, data: bytes) -> Iterator[tuple]:
             at, k = at + stored, k + 1
 
 
+def next_record(data: bytes, at: int) -> int | None:
+    """Where the first whole record at ``at`` or later begins: both its lengths agree and its checksum is right.
+
+    A record that lies inside another's content counts too, where the outer one is damaged.
+    """
+    size_at, end = _FIXED.size - 4, len(data) - _OVERHEAD + 1
+    for low in range(at, end, _SEARCH):
+        high = min(low + _SEARCH, end)
+        block = np.frombuffer(data, np.uint8, high - low + size_at + 3, low).astype(np.int64)
+        number = block[:-3] | block[1:-2] << 8 | block[2:-1] << 16 | block[3:] << 24
+        length, size = number[: high - low], number[size_at:]
+        whole = (length == size + _OVERHEAD) & (length <= len(data) - np.arange(low, high))
+        for k in np.flatnonzero(whole).tolist():
+            last = low + k + int(length[k]) - 4
+            if int(crc32c_of([data[low + k : last]])[0]) == struct.unpack_from("<I", data, last)[0]:
+                return low + k
+    return None
+
+
 def records_of(path: str, segment: int, partition: int, flags: int, payload: bytes | None, raw_size: int | None) -> list[tuple]:
     """The rows of one payload, which is no longer encrypted."""
     if payload is None:
@@ -99,16 +122,27 @@ def records_of(path: str, segment: int, partition: int, flags: int, payload: byt
         if length == 0:  # preallocated space
             break
         if length < _OVERHEAD or at + length > len(data):
-            rows.append([path, segment, partition, None, None, None, None, "record is cut off"])
-            break
+            after = next_record(data, at + 1)
+            rows.append([path, segment, partition, None, None, None, None, "record is cut off" if after is None else "record length"])
+            if after is None:
+                break
+            at = after
+            continue
         _, sequence, stamp, size = _FIXED.unpack_from(data, at)
         start = at + _FIXED.size
         whole = size + _OVERHEAD == length
-        content = data[start : start + size] if whole else None
+        if not whole:  # one of the two lengths is damaged, and which one is not known
+            rows.append([path, segment, partition, sequence, stamp, None, None, "content length"])
+            after = next_record(data, at + 1)
+            if after is None:
+                break
+            at = after
+            continue
+        content = data[start : start + size]
         link = data[at + length - 4 - HASH_BYTES : at + length - 4]
         (stored,) = struct.unpack_from("<I", data, at + length - 4)
         bodies.append((len(rows), data[at : at + length - 4], stored))
-        rows.append([path, segment, partition, sequence, stamp, content, link, None if whole else "content length"])
+        rows.append([path, segment, partition, sequence, stamp, content, link, None])
         at += length
     for (k, _, stored), found in zip(bodies, crc32c_of([b for _, b, _ in bodies])):
         if stored != found and rows[k][-1] is None:

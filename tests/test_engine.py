@@ -282,6 +282,39 @@ def test_segment_files(spark, tmp_path):
     assert {bytes(r.content) for r in rows if r.segment_id == 1} == {f"c{i}".encode() for i in range(5)}
 
 
+def test_records_after_a_damaged_length(spark, tmp_path, monkeypatch):
+    """Every byte of the middle record's lengths damaged in turn: the records around it are found, also across search blocks."""
+    records = [segments.pack_record(i, i * 10, f"c{i}".encode() * (i + 1)) for i in range(5)]
+    head, at = segments.pack_header(0, 1), len(records[0] + records[1])
+    raw = b"".join(records)
+    for block in (7, 1 << 20):
+        monkeypatch.setattr(segments, "_SEARCH", block)
+        for k in [*range(4), *range(20, 24)]:
+            for flip in (0x01, 0x80, 0xFF):
+                bad = bytearray(head + raw + bytes(50))
+                bad[len(head) + at + k] ^= flip
+                rows = segments.parse("f", bytes(bad))
+                assert [r[3] for r in rows if r[-1] is None] == [0, 1, 3, 4], (block, k, flip)
+                assert [r[-1] for r in rows if r[-1]] in (["record length"], ["content length"])
+    monkeypatch.undo()
+    # brute force: the first offset from which a record can be cut out and packed to the same bytes
+    noisy = bytes(range(256)) * 3 + records[3] + b"\x01" * 90 + records[4][:-1]
+    same = [i for i in range(len(noisy)) if noisy[i:].startswith(records[3])]
+    assert segments.next_record(noisy, 0) == same[0] and segments.next_record(noisy, same[0] + 1) is None
+    assert segments.next_record(b"", 0) is None and segments.next_record(records[0], 0) == 0
+    # the whole stretch of several damaged records is one row, in a file and in a compressed frame
+    lost = bytearray(raw)
+    lost[at : at + 4] = b"\xff" * 4
+    lost[at + len(records[2]) : at + len(records[2]) + 4] = b"\x01\0\0\0"
+    (tmp_path / "segment-1.log").write_bytes(head + bytes(lost))
+    (tmp_path / "segment-2.log").write_bytes(segments.pack_header(0, 2, flags=4) + segments.pack_frame(bytes(lost)))
+    rows = segments.read_segments(spark, str(tmp_path)).collect()
+    for segment in (1, 2):
+        mine = [r for r in rows if r.segment_id == segment]
+        assert sorted(r.sequence for r in mine if r.corrupt is None) == [0, 1, 4]
+        assert [r.corrupt for r in mine if r.corrupt] == ["record length"]
+
+
 def test_framed_segment_files(spark, tmp_path):
     """Compressed, encrypted and both; a key that was rotated out still opens its frames, a missing one is reported."""
     old, new = bytes(range(32)), bytes(range(1, 33))
